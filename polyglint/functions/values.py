@@ -55,33 +55,27 @@ def reserved_names(value) -> Column:
 
 # --- scalar typing -------------------------------------------------------------------
 
-_COMMA_NUMBER = (
-    r"\A(?:0b[01_,]+|0[0-7_,]+|[1-9](?:[0-9]|,[0-9]|_[0-9])*|0x[0-9a-fA-F_,]+"
-    r"|(?:[0-9][0-9_,]*)?\.[0-9]*(?:[eE][-+][0-9]+)?)\z"
+# Every form is tested on whole text in one expression: the catalog has a value per row.
+_NUMBER = (
+    r"[-+]?(?:\.(?i:inf|nan)"
+    r"|(?=[^,]*,)(?:0b[01_,]+|0[0-7_,]+|[1-9](?:[0-9]|,[0-9]|_[0-9])*|0x[0-9a-fA-F_,]+|(?:[0-9][0-9_,]*)?\.[0-9]*(?:[eE][-+][0-9]+)?)"
+    r"|0[xX]_*[0-9a-fA-F][0-9a-fA-F_]*|0[bB]_*[01][01_]*|0[oO]_*[0-7][0-7_]*"
+    r"|_*[0-9.][0-9._]*(?::_*[0-9.][0-9._]*)+"
+    r"|_*[-+]?_*(?:[0-9][0-9_]*(?:\.[0-9_]*)?|\._*[0-9][0-9_]*)(?:[eE]_*[-+]?_*[0-9][0-9_]*)?)"
 )
-_RADIX_NUMBER = r"\A(?:0[xX]_*[0-9a-fA-F][0-9a-fA-F_]*|0[bB]_*[01][01_]*|0[oO]_*[0-7][0-7_]*)\z"
-_DECIMAL_NUMBER = r"\A[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?\z"
-_SEXAGESIMAL_SHAPE = r"\A[0-9.]+(?::[0-9.]+)+\z"
-_TIMESTAMP = r"\A[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?![0-9])"
+_NULL = r"(?:~?|(?i:null))"
+_BOOL = r"(?i:true|yes|on|false|no|off)"
+_TIMESTAMP = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?![0-9])"
 
 
 def typed_scalar(text) -> Column:
     """What unquoted text is read as: ``null``, ``bool``, ``number``, ``timestamp`` or ``str``."""
     text = _col(text)
-    body = F.regexp_replace(text, r"\A[-+]", "")
-    plain = F.replace(body, F.lit("_"), F.lit(""))
-    number = (
-        F.when(body == "", False)
-        .when(body.rlike(r"\A(?i:\.inf|\.nan)\z"), True)
-        .when(body.contains(","), body.rlike(_COMMA_NUMBER))
-        .when(body.rlike(r"\A0[xXbBoO]"), body.rlike(_RADIX_NUMBER))
-        .otherwise(plain.rlike(_SEXAGESIMAL_SHAPE) | plain.rlike(_DECIMAL_NUMBER))
-    )
     return (
-        F.when(text.rlike(r"\A(?:~?|(?i:null))\z"), "null")
-        .when(text.rlike(r"\A(?i:true|yes|on|false|no|off)\z"), "bool")
-        .when(number, "number")
-        .when(text.rlike(_TIMESTAMP), "timestamp")
+        F.when(text.rlike(rf"\A{_NULL}\z"), "null")
+        .when(text.rlike(rf"\A{_BOOL}\z"), "bool")
+        .when(text.rlike(rf"\A{_NUMBER}\z"), "number")
+        .when(text.rlike(rf"\A{_TIMESTAMP}"), "timestamp")
         .otherwise("str")
     )
 
@@ -182,26 +176,22 @@ def _single_quoted(text: Column) -> Column:
     return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
 
 
+# Quotes are needed when plain text would read back as something else: empty, opened by an
+# indicator, closed by a blank or colon, a mapping or comment inside, or typed as no string.
+_NEEDS_QUOTES = (
+    r"""(?s)\A(?:\z|[ \-?:,\[\]{}#&*!|>'"%@`]|.* \z|.*:(?: |\z)|.* #|(?:[yYnN]|<<|=)\z"""
+    + rf"|(?:{_NULL}|{_BOOL}|{_NUMBER})\z|{_TIMESTAMP})"
+)
+_NON_WORD_START = r'(?s)\A[^\p{IsAlphabetic}\p{N}_"][^"]*\z'
+
+
 def quote_scalar(text) -> Column:
     """One-line scalar: plain when nothing would be misread, else single or double quotes."""
     text = _col(text)
-    non_word_start = text.rlike(r"\A[^\p{IsAlphabetic}\p{N}_]") & ~text.contains('"')
-    required = (
-        (text == "")
-        | non_word_start
-        | text.rlike(r"""\A[ \-?:,\[\]{}#&*!|>'"%@`]""")
-        | text.endswith(" ")
-        | text.contains(": ")
-        | text.endswith(":")
-        | text.contains(" #")
-        | text.isin("y", "Y", "n", "N", "<<", "=")
-        | (typed_scalar(text) != "str")
-    )
     return (
-        F.when(text.rlike(r"\p{Cc}"), _double_quoted(text))
-        .when(~required, text)
-        .when(non_word_start, _double_quoted(text))
-        .otherwise(_single_quoted(text))
+        F.when(text.rlike(r"\p{Cc}") | text.rlike(_NON_WORD_START), _double_quoted(text))
+        .when(text.rlike(_NEEDS_QUOTES), _single_quoted(text))
+        .otherwise(text)
     )
 
 

@@ -76,6 +76,15 @@ _CTES = {
       WHERE u.dep_key IS NULL
         AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT project, pattern FROM x_pattern) p WHERE p.project = d.project AND regexp_full_match(d.key, replace(replace(p.pattern, '.', '\.'), '*', '.*')))""",
     "x_unruled_own": "SELECT u.* FROM x_unruled u WHERE NOT EXISTS (SELECT 1 FROM x_external e WHERE e.project = u.project AND e.locale = u.locale AND (e.key = u.key OR e.key LIKE u.key || '.%'))",
+    "x_tree": """SELECT o_orderkey, lower(substr(o_orderpriority, 3)) AS project, CASE o_orderkey % 8 WHEN 0 THEN 'app/models/m' || o_orderkey || '.rb'
+        WHEN 1 THEN 'app/assets/builds/b' || o_orderkey || '.js' WHEN 2 THEN 'app/assets/i' || o_orderkey || '.png' WHEN 3 THEN 'lib/.cache/c' || o_orderkey || '.rb'
+        WHEN 4 THEN 'lib/tasks/t' || o_orderkey || '.rake' WHEN 5 THEN 'app/views/v' || o_orderkey || '/index.html.erb' WHEN 6 THEN 'vendor/x' || o_orderkey || '/lib/y.rb'
+        ELSE 'app/.hidden' || o_orderkey || '.rb' END AS path FROM orders""",
+    "x_layout": """SELECT DISTINCT project, root || '/' || CASE c % 8 WHEN 0 THEN l || '.yml' WHEN 1 THEN 'n' || c || '.' || l || '.yml' WHEN 2 THEN l || '/m' || c || '.yaml'
+        WHEN 3 THEN l || '/a/b' || c || '.yml' WHEN 4 THEN 'sub' || c || '/' || l || '.yml' WHEN 5 THEN 'sub/x' || c || '.' || l || '.yml' WHEN 6 THEN 'odd' || c || '/names.yml'
+        ELSE 'README' || c || '.md' END AS path
+      FROM (SELECT c_custkey AS c, lower(c_mktsegment) AS project, ['en', 'de', 'pt-BR', 'zh_Hans'][c_nationkey % 4 + 1] AS l,
+        CASE c_mktsegment WHEN 'BUILDING' THEN 'locales' WHEN 'MACHINERY' THEN 'app/locales' ELSE 'config/locales' END AS root FROM customer)""",
     "x_template": """SELECT *, CASE line_pos WHEN 1 THEN '= t(''' || key || ''')' WHEN 2 THEN 'p = I18n.t "' || key || '", default: "x"'
         WHEN 3 THEN 'é #{t(:"' || key || '")} text' WHEN 4 THEN '/ t(''' || key || ''')' WHEN 5 THEN '= t(:name, scope: ''' || key || ''')'
         WHEN 6 THEN '= t("' || key || '.#{x}")' ELSE '= t(:v, scope: obj) # ' || key END AS line,
