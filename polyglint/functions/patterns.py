@@ -85,29 +85,23 @@ def pattern_group(key, pattern, index: int) -> Column:
 #
 # A pattern is filed under something it fixes in every key it can match, so the test
 # becomes an equi-join with the regex as residual:
-#   exact  no wildcard at all           -> the key itself
 #   head   literal first segment        -> the key's first segment
 #   tail   literal last segment         -> the key's last segment
 #   open   neither                      -> the project
-# Head, tail and open carry a salt: the key picks one of SALT copies of the patterns, so
-# a namespace or project that holds most keys spreads over SALT tasks. No broadcast is
-# asked for; the optimizer broadcasts when the pattern side is under its size limit.
+# All carry a salt: the key picks one of SALT copies of the patterns, so a namespace or
+# project that holds most keys spreads over SALT tasks. No broadcast is asked for; the
+# optimizer broadcasts when the pattern side is under its size limit.
 
 
 def file_patterns(patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
     """Add ``p_kind``, ``p_anchor`` and ``p_regex``; one row per anchor."""
     p = F.col(pattern)
-    head = F.regexp_extract(p, r"\A([^*:{}.]+)\.", 1)
+    head = F.regexp_extract(p, r"\A([^*:{}.]+)(?:\.|\z)", 1)
     heads = F.regexp_extract(p, r"\A\{([^{}*:.]+)\}\.", 1)
     tail = F.regexp_extract(p, r"\.([^*:{}.]+)\z", 1)
-    exact = ~p.rlike(r"[*:{]")
-    # struct(rank-free kind, anchors) chosen once per pattern
-    kind = (
-        F.when(exact, "exact").when((head != "") | (heads != ""), "head").when(tail != "", "tail").otherwise("open")
-    )
+    kind = F.when((head != "") | (heads != ""), "head").when(tail != "", "tail").otherwise("open")
     anchors = (
-        F.when(exact, F.array(p))
-        .when(head != "", F.array(head))
+        F.when(head != "", F.array(head))
         .when(heads != "", F.array_distinct(F.transform(F.split(F.trim(heads), ","), lambda a: F.trim(a))))
         .when(tail != "", F.array(tail))
         .otherwise(F.array(F.lit("")))
@@ -119,21 +113,16 @@ def file_patterns(patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
     )
 
 
-def _sides(df: DataFrame, filed: DataFrame, key: str, kind: str):
-    """The two sides of one anchored join: keys untouched, patterns renamed and salted."""
-    side = filed.where(F.col("p_kind") == kind)
-    if kind != "exact":
-        side = side.withColumn("p_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    anchor = {
-        "exact": F.col(key),
-        "head": F.substring_index(F.col(key), ".", 1),
-        "tail": last_segment(key),
-        "open": F.lit(""),
-    }[kind]
-    on = (F.col("p_project") == F.col("project")) & (F.col("p_anchor") == anchor)
-    if kind != "exact":
-        on = on & (F.col("p_salt") == F.pmod(F.xxhash64(F.col(key)), F.lit(SALT)).cast("int"))
-        on = on & F.expr(f"`{key}` rlike p_regex")
+def _sides(filed: DataFrame, key: str, kind: str):
+    """The pattern side of one anchored join, salted, and the join condition."""
+    side = filed.where(F.col("p_kind") == kind).withColumn("p_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    anchor = {"head": F.substring_index(F.col(key), ".", 1), "tail": last_segment(key), "open": F.lit("")}[kind]
+    on = (
+        (F.col("p_project") == F.col("project"))
+        & (F.col("p_anchor") == anchor)
+        & (F.col("p_salt") == F.pmod(F.xxhash64(F.col(key)), F.lit(SALT)).cast("int"))
+        & F.rlike(F.col(key), F.col("p_regex"))
+    )
     return side, on
 
 
@@ -147,17 +136,17 @@ def _locale_condition(locale: str | None) -> Column:
 def _prepare(patterns: DataFrame) -> DataFrame:
     cols = [F.col("project").alias("p_project"), F.col("pattern").alias("p_pattern")]
     cols.append((F.col("locale_group") if "locale_group" in patterns.columns else F.lit(None).cast("string")).alias("p_group"))
-    return file_patterns(patterns.select(*cols).distinct(), "p_pattern")
+    return file_patterns(patterns.select(*cols), "p_pattern")
 
 
-KINDS = ("exact", "head", "tail", "open")
+KINDS = ("head", "tail", "open")
 
 
 def unmatched(df: DataFrame, patterns: DataFrame, key: str = "key", locale: str | None = None) -> DataFrame:
     """Rows of ``df`` whose key no pattern of the project matches."""
     filed = _prepare(patterns)
     for kind in KINDS:
-        side, on = _sides(df, filed, key, kind)
+        side, on = _sides(filed, key, kind)
         df = df.join(side, on & _locale_condition(locale), "left_anti")
     return df
 
@@ -167,7 +156,7 @@ def matched(df: DataFrame, patterns: DataFrame, key: str = "key", locale: str |
     filed = _prepare(patterns)
     hits, rest = [], df
     for kind in KINDS:
-        side, on = _sides(rest, filed, key, kind)
+        side, on = _sides(filed, key, kind)
         hits.append(rest.join(side, on & _locale_condition(locale), "left_semi"))
         rest = rest.join(side, on & _locale_condition(locale), "left_anti")
     out = hits[0]
@@ -181,7 +170,7 @@ def matching_pairs(df: DataFrame, patterns: DataFrame, key: str = "key", locale:
     filed = file_patterns(patterns, "p_pattern")
     out = None
     for kind in KINDS:
-        side, on = _sides(df, filed, key, kind)
+        side, on = _sides(filed, key, kind)
         part = df.join(side, on & _locale_condition(locale), "inner").drop("p_salt")
         out = part if out is None else out.unionByName(part)
     return out

@@ -194,11 +194,11 @@ def with_plural_parent(leaves: DataFrame, plurals: DataFrame | None = None) -> D
 
 
 def depluralized_leaves(leaves: DataFrame, plurals: DataFrame | None = None) -> DataFrame:
-    """Add ``dep_key``. A leaf's parent always has children in its own locale, so that
-    locale decides alone; ``0`` and ``1`` make a plural node but are not cut off."""
-    joined = with_plural_parent(leaves, plurals)
+    """Add ``dep_key`` (and keep ``plural_parent``, ``n_children``). A leaf's parent always has
+    children in its own locale, so that locale decides alone; ``0`` and ``1`` make a plural
+    node but are not cut off."""
     cut = F.col("plural_parent").isNotNull() & K.is_plural_category("key")
-    return joined.withColumn("dep_key", F.when(cut, F.col("plural_parent")).otherwise(F.col("key"))).drop("plural_parent", "n_children")
+    return with_plural_parent(leaves, plurals).withColumn("dep_key", F.when(cut, F.col("plural_parent")).otherwise(F.col("key")))
 
 
 def depluralize(keys: DataFrame, tr: DataFrame, locales: DataFrame) -> DataFrame:

@@ -204,7 +204,7 @@ def missing(occ, tr, dim, rules, locales, types: list[str] | None = None) -> Dat
 
 
 def unused_leaves(tr: DataFrame, occ: DataFrame, rules: DataFrame | None, locales: DataFrame) -> DataFrame:
-    """Exact leaves that nothing uses: what a removal takes away.
+    """Exact leaves that nothing uses: what a removal takes away. Carries ``plural_parent``.
 
     Ignore rules, usage patterns and the external catalog look at the raw key, usage at the
     depluralized one.
@@ -215,13 +215,15 @@ def unused_leaves(tr: DataFrame, occ: DataFrame, rules: DataFrame | None, locale
     rest = U.without_used_by_pattern(rest, occ)
     rest = U.without_used(C.depluralized_leaves(rest, plurals), occ, "dep_key")
     external = C.present_keys(tr.where("external"))
-    return rest.join(external, ["project", "locale", "key"], "left_anti").drop("dep_key")
+    return rest.join(external, ["project", "locale", "key"], "left_anti")
 
 
-def collapse_plurals(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+def collapse_plurals(placed: DataFrame) -> DataFrame:
     """A plural node all of whose children are given becomes one row for the parent, placed
-    where its first child was (``order_key``). Groups hold at most eight rows."""
-    placed = C.with_plural_parent(rows, C.plural_nodes(leaves))
+    where its first child was (``order_key``). Groups hold at most eight rows.
+
+    ``placed``: leaves with ``plural_parent`` and ``n_children``.
+    """
     node = F.coalesce("plural_parent", "key")
     grouped = placed.groupBy("project", "locale", node.alias("node"), F.col("plural_parent").isNotNull().alias("is_plural")).agg(
         F.max("n_children").alias("n_children"), F.count("*").alias("n"), F.min("key").alias("first_key"),
@@ -234,8 +236,8 @@ def collapse_plurals(rows: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def unused(tr: DataFrame, occ: DataFrame, rules: DataFrame | None, locales: DataFrame) -> DataFrame:
-    hits = unused_leaves(tr, occ, rules, locales).select("project", "locale", "key", V.display_value("value_type", "value").alias("value"))
-    return as_findings(collapse_plurals(hits, C.internal(tr)), "unused", None)
+    hits = unused_leaves(tr, occ, rules, locales).withColumn("value", V.display_value("value_type", "value"))
+    return as_findings(collapse_plurals(hits), "unused", None)
 
 
 def select_unused(findings: DataFrame, leaves: DataFrame, pattern: str) -> tuple[DataFrame, DataFrame]:

@@ -60,15 +60,29 @@ def _under_used_section(wanted: DataFrame, used: DataFrame) -> DataFrame:
 
 
 def without_used(leaves: DataFrame, occ: DataFrame, key: str = "key") -> DataFrame:
-    """Rows whose key is neither used nor below a used key.
+    """Leaves, one per (project, locale, key), whose ``key`` column is neither used nor below a
+    used key.
 
-    The equi-join on the whole key goes first and leaves the prefix walk only the rest.
+    The equi-join on the whole key goes first and leaves the prefix walk only the rest. The
+    walk is one salted left join and one aggregate, so the rest is read once.
     """
     used = keys_of(occ).select("project", F.col("key").alias(key)).distinct()
     rest = leaves.join(used, ["project", key], "left_anti")
-    wanted = rest.select("project", F.col(key).alias("key")).distinct()
-    covered = _under_used_section(wanted, used.withColumnRenamed(key, "key")).withColumnRenamed("key", key)
-    return rest.join(covered, ["project", key], "left_anti")
+    columns = rest.columns
+    probes = rest.withColumn("_prefix", F.explode_outer(K.proper_ancestors(key))).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(M.SALT)).cast("int"))
+    sections = used.select(
+        F.col("project").alias("_p"), F.col(key).alias("_section"), F.explode(F.sequence(F.lit(0), F.lit(M.SALT - 1))).alias("_s")
+    )
+    on = (F.col("_p") == F.col("project")) & (F.col("_section") == F.col("_prefix")) & (F.col("_s") == F.col("_salt"))
+    ids = ["project", "locale", "key"]
+    others = [c for c in columns if c not in ids]
+    return (
+        probes.join(sections, on, "left")
+        .groupBy(*ids)
+        .agg(F.any_value(F.struct(*others)).alias("_row"), F.count("_section").alias("_hits"))
+        .where("_hits = 0")
+        .select(*[F.col(c) if c in ids else F.col(f"_row.{c}").alias(c) for c in columns])
+    )
 
 
 def used_by_pattern(keys: DataFrame, occ: DataFrame, key: str = "key") -> DataFrame:

@@ -213,8 +213,7 @@ def collapse_plurals(spark, sf):
 @query("W4_collapse_order", f"SELECT project, locale, key, order_key FROM ({_UNUSED})")
 def collapse_order(spark, sf):
     tr, occ, rules, loc = _inputs(spark, sf)
-    hits = H.unused_leaves(tr, occ, rules, loc).select("project", "locale", "key", "value")
-    return H.collapse_plurals(hits, C.internal(tr)).select("project", "locale", "key", "order_key").orderBy("project", "locale", "order_key")
+    return H.collapse_plurals(H.unused_leaves(tr, occ, rules, loc)).select("project", "locale", "key", "order_key").orderBy("project", "locale", "order_key")
 
 
 @query("A8_plural_dim", "SELECT l.project, x.spelled AS locale, x.need AS categories FROM x_project l, (VALUES ('en', 'one other'), ('de', 'one other'), ('fr', 'one other'), ('ja', 'other'), ('ru', 'one few many other'), ('pt-br', 'one other')) AS x(spelled, need)")

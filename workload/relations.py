@@ -16,8 +16,16 @@ ROOTS = ["app/views", "app/controllers", "app/components"]
 MARK = "i18n-" + "lint" + "-use"
 
 
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. The plan is kept per session, so a query that uses a table several times
+    reads its schema once."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _TABLES[key]
 
 
 def _structs(**columns) -> Column:
