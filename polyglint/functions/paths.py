@@ -8,7 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from polyglint.functions.keys import _col, looks_like_locale, regex_group
-from polyglint.functions.patterns import pattern_regex
 
 # Files that are never searched, whatever the settings say.
 ALWAYS_EXCLUDED = (
@@ -67,19 +66,31 @@ def replace_locale(path, source, target) -> Column:
     return F.when(source == "", path).otherwise(F.regexp_replace(path, regex, _col(target)))
 
 
-def fill_captures(path, key, pattern) -> Column:
-    r"""``\1``..``\9`` in a path from the groups of the key pattern, in one pass."""
-    key, regex = _col(key), pattern_regex(pattern)
-    groups = F.array(*[regex_group(key, regex, i) for i in range(1, 10)])
-    tokens = F.regexp_extract_all(_col(path), F.lit(r"(?s)(\\[0-9]|\\|[^\\]+)"), F.lit(1))
-    filled = F.transform(
+# Stands in for the locale in a prepared target; never part of a path.
+_LOCALE_SLOT = "\u0001"
+
+
+def target_template(target) -> Column:
+    r"""A write target as a regex replacement, made once per rule: ``\1``..``\9`` become groups,
+    ``%{locale}`` a slot, ``%%`` a percent sign, and everything else is escaped."""
+    slotted = F.array_join(
+        F.transform(F.split(_col(target), "%%"), lambda p: F.replace(p, F.lit("%{locale}"), F.lit(_LOCALE_SLOT))), "%"
+    )
+    tokens = F.regexp_extract_all(slotted, F.lit(r"(?s)(\\[0-9]|\\|[^\\]+)"), F.lit(1))
+    made = F.transform(
         tokens,
-        lambda t: F.when(
-            t.rlike(r"\A\\[0-9]\z"),
-            F.coalesce(F.try_element_at(groups, F.nullif(F.substring(t, 2, 1).try_cast("int"), F.lit(0))), F.lit("")),
-        ).otherwise(t),
+        lambda t: F.when(t == "\\0", "")
+        .when(t.rlike(r"\A\\[1-9]\z"), F.replace(t, F.lit("\\"), F.lit("$")))
+        .otherwise(F.regexp_replace(t, r"([\\$0-9])", r"\\$1")),
     )
-    return F.when(_col(path).contains("\\"), F.array_join(filled, "")).otherwise(_col(path))
+    return F.array_join(made, "")
+
+
+def fill_template(template, locale, key, regex) -> Column:
+    """The path a prepared target gives for a key its pattern (``pattern_regex``) matches."""
+    escaped = F.regexp_replace(_col(locale), r"([\\$0-9])", r"\\$1")
+    filled = F.replace(_col(template), F.lit(_LOCALE_SLOT), escaped)
+    return F.regexp_replace(_col(key), _col(regex), filled)
 
 
 _READ_TOKEN = r"(?s)(%\{locale\}|\*+|[./\\]|.)"
