@@ -295,12 +295,19 @@ def keyword_scope(scope: Column) -> Column:
     return F.when(unusable | ((text != "") & all_wildcard(text)), F.lit(None).cast("string")).otherwise(text)
 
 
-def reduce_argument(arg: Column) -> Column:
-    """(kind, text) of a Ruby argument: ``key``, ``pattern``, ``opaque``, or null for a number."""
-    text = _ruby_text(arg)
-    literal = arg.rlike(_LITERAL_START)
-    kind = F.when(literal, F.when(text.contains("*:"), "pattern").otherwise("key")).when(~arg.rlike(r"\A[0-9]"), "opaque")
-    return F.struct(kind.alias("kind"), F.when(literal, text).otherwise(arg).alias("text"))
+def argument_kind(arg: Column, text: Column) -> Column:
+    """``key``, ``pattern`` or ``opaque`` for a Ruby argument; null for a number."""
+    return F.when(arg.rlike(_LITERAL_START), F.when(text.contains("*:"), "pattern").otherwise("key")).when(~arg.rlike(r"\A[0-9]"), "opaque")
+
+
+def reduce_argument(calls: DataFrame) -> DataFrame:
+    """Add ``arg_text`` (adjacent literals joined, interpolation ``*:``) and ``arg_kind``.
+
+    Two plain columns: as fields of one struct each use would evaluate the text again.
+    """
+    arg = F.col("arg")
+    text = F.when(arg.rlike(_LITERAL_START), _ruby_text(arg)).otherwise(arg)
+    return calls.withColumn("arg_text", text).withColumn("arg_kind", argument_kind(arg, F.col("arg_text")))
 
 
 def relative_key(rows: DataFrame, roots: list[str]) -> DataFrame:
@@ -378,16 +385,16 @@ def scan_templates(files: DataFrame, roots: list[str]) -> DataFrame:
 
 def _ruby_calls(files: DataFrame) -> DataFrame:
     """Calls of Ruby files and code tags with argument and scope reduced; no context yet."""
-    calls = _classified_lines(files.where(scanner_kind("path") != "template")).withColumn("a", reduce_argument(F.col("arg")))
+    calls = reduce_argument(_classified_lines(files.where(scanner_kind("path") != "template")))
     magic = F.col("line_kind") == "magic"
     comment_at = F.instr("line_head", "#") - 1
     return (
-        calls.where("a.kind is not null")
+        calls.where("arg_kind is not null")
         .withColumn("prefix", F.when(F.col("scope").isNull(), "").otherwise(keyword_scope(F.col("scope"))))
         .withColumn("magic", magic)
         .withColumn("pos", F.when(magic & (comment_at >= 0), F.col("pos") - F.col("line_pos") + comment_at).otherwise(F.col("pos")))
         .withColumn("line_pos", F.when(magic & (comment_at >= 0), comment_at).otherwise(F.col("line_pos")))
-        .withColumn("relative", F.col("a.text").startswith(".") & ~F.col("receiver") & (F.col("a.kind") != "opaque"))
+        .withColumn("relative", F.col("arg_text").startswith(".") & ~F.col("receiver") & (F.col("arg_kind") != "opaque"))
     )
 
 
@@ -406,9 +413,9 @@ def _ruby_results(calls: DataFrame) -> DataFrame:
     ``candidate``."""
     usable = calls.where(~F.col("relative") | F.col("context").isNotNull())
     empty = F.array().cast("array<string>")
-    candidates = full_key(F.col("prefix"), F.col("a.text"), F.col("relative"), F.coalesce("context", empty), F.coalesce("candidate", F.lit(False)))
+    candidates = full_key(F.col("prefix"), F.col("arg_text"), F.col("relative"), F.coalesce("context", empty), F.coalesce("candidate", F.lit(False)))
     first = F.col("_first")
-    dynamic = F.col("prefix").contains("*") | (F.col("a.kind") == "pattern")
+    dynamic = F.col("prefix").contains("*") | (F.col("arg_kind") == "pattern")
     dotted = F.col("_dotted")
     none = F.array().cast(_RESULTS)
     opaque = F.when(F.col("magic"), none).otherwise(F.array(_result("opaque", F.col("arg"))))
@@ -417,7 +424,7 @@ def _ruby_results(calls: DataFrame) -> DataFrame:
         first.endswith(".") & ~F.col("magic") & ~all_wildcard(dotted), F.array(_result("key", first), _result("pattern", dotted))
     ).otherwise(F.array(_result("key", first)))
     results = (
-        F.when((F.col("a.kind") == "opaque") | F.col("prefix").isNull(), opaque)
+        F.when((F.col("arg_kind") == "opaque") | F.col("prefix").isNull(), opaque)
         .when(F.size("candidates") == 0, none)
         .when(dynamic, pattern)
         .otherwise(keyed)
@@ -429,16 +436,17 @@ def _ruby_results(calls: DataFrame) -> DataFrame:
         .withColumn("r", F.explode(results))
         .withColumn("kind", F.col("r.kind"))
         .withColumn("key", F.when(F.col("kind") != "opaque", F.col("r.key")))
-        .withColumn("raw_key", F.when(F.col("kind") == "opaque", F.col("arg")).otherwise(F.col("a.text")))
+        .withColumn("raw_key", F.when(F.col("kind") == "opaque", F.col("arg")).otherwise(F.col("arg_text")))
         .withColumn("candidate_keys", F.when(F.col("kind") == "opaque", empty).otherwise(F.col("candidates")))
     )
 
 
 def comment_covers_next(occ: DataFrame) -> DataFrame:
-    """Drop opaque calls on the line after a marked comment that named a key."""
-    covered = occ.where(F.col("magic") & (F.col("kind") == "key")).select("project", "path", (F.col("line_num") + 1).alias("line_num")).distinct()
-    opaque = occ.where(F.col("kind") == "opaque").join(covered, ["project", "path", "line_num"], "left_anti")
-    return occ.where(F.col("kind") != "opaque").unionByName(opaque)
+    """Drop opaque calls on the line after a marked comment that named a key. One window per
+    file, so the scan above is not read twice."""
+    line_before = Window.partitionBy("project", "path").orderBy("line_num").rangeBetween(-1, -1)
+    named = F.max(F.col("magic") & (F.col("kind") == "key")).over(line_before)
+    return occ.withColumn("_covered", F.coalesce(named, F.lit(False))).where(~((F.col("kind") == "opaque") & F.col("_covered"))).drop("_covered")
 
 
 def scan_code_tags(files: DataFrame, roots: list[str]) -> DataFrame:
@@ -463,13 +471,16 @@ def source_lines(files: DataFrame) -> DataFrame:
     )
 
 
-def definition_ranges(lines: DataFrame) -> DataFrame:
-    """Class, module and method ranges by indentation: (project, path, start_line, end_line, what,
-    name). A definition ends at the first later ``end`` of its own indent; ``end_line`` is null
-    when there is none, and such files are not fit for automatic removal."""
-    marked = lines.withColumn("what", F.regexp_extract("line", _DEFINITION, 2)).withColumn("name", F.regexp_extract("line", _DEFINITION, 3))
-    marked = marked.withColumn("is_end", F.col("line").rlike(r"\A[ \t]*end\b")).where((F.col("what") != "") | F.col("is_end"))
-    marked = marked.withColumn("indent", F.length(F.regexp_extract("line", r"\A([ \t]*)", 1)))
+def _definition_lines(lines: DataFrame) -> DataFrame:
+    """Lines that open a definition, say ``private`` or ``end``, with the line that closes each."""
+    marked = (
+        lines.withColumn("what", F.regexp_extract("line", _DEFINITION, 2))
+        .withColumn("name", F.regexp_extract("line", _DEFINITION, 3))
+        .withColumn("is_end", F.col("line").rlike(r"\A[ \t]*end\b"))
+        .withColumn("what", F.when(F.col("line").rlike(r"\A[ \t]*private\b"), "private").otherwise(F.col("what")))
+        .where((F.col("what") != "") | F.col("is_end"))
+        .withColumn("indent", F.length(F.regexp_extract("line", r"\A([ \t]*)", 1)))
+    )
     later = Window.partitionBy("project", "path", "indent").orderBy("line_num").rowsBetween(1, Window.unboundedFollowing)
     closes = F.first(F.when(F.col("is_end"), F.col("line_num")), ignorenulls=True).over(later)
     end = F.when(F.col("line").rlike(_ONE_LINE), F.col("line_num")).otherwise(F.col("closes"))
@@ -480,6 +491,13 @@ def definition_ranges(lines: DataFrame) -> DataFrame:
     )
 
 
+def definition_ranges(lines: DataFrame) -> DataFrame:
+    """Class, module and method ranges by indentation: (project, path, start_line, end_line, what,
+    name). A definition ends at the first later ``end`` of its own indent; ``end_line`` is null
+    when there is none, and such files are not fit for automatic removal."""
+    return _definition_lines(lines).where(F.col("what") != "private")
+
+
 def innermost_scope(points: DataFrame, ranges: DataFrame, at: str = "line_num") -> DataFrame:
     """Each point with the smallest range that holds it; points outside every range keep nulls.
 
@@ -499,70 +517,76 @@ def innermost_scope(points: DataFrame, ranges: DataFrame, at: str = "line_num")
 
 
 def method_contexts(files: DataFrame, roots: list[str], exclude_method_name: list[str] | None = None) -> DataFrame:
-    """(project, path, start_line, end_line, context, candidate): methods and the key path they give.
+    """(project, path, methods): per file its methods as structs of span, back (minus the start),
+    start, end, context, candidate.
 
-    A method attaches to the classes and modules around it. Its context is null when relative
-    keys do not resolve there: in a module, in a class of no supporting kind, or after a bare
-    ``private``.
+    A method attaches to the classes and modules around it. Its context, the key path of a
+    relative key, is null where none resolves: in a module, in a class of no supporting kind,
+    or after a bare ``private``. The list is bounded by the file, which is one value itself.
     """
-    ruby = files.where(scanner_kind("path") == "ruby")
-    lines = source_lines(ruby)
-    ranges = definition_ranges(lines)
-    homes = ranges.where(F.col("what") != "def")
-    home = homes.select(
-        F.col("project").alias("h_project"), F.col("path").alias("h_path"), F.struct("start_line", "end_line", "what", "name").alias("home")
-    )
-    inner = (
-        (F.col("h_project") == F.col("project"))
-        & (F.col("h_path") == F.col("path"))
-        & (F.col("home.start_line") < F.col("start_line"))
-        & (F.col("start_line") < F.col("home.end_line"))
-    )
-    private = lines.where(F.col("line").rlike(r"\A[ \t]*private\b")).select("project", "path", "line_num")
-    class_private = (
-        innermost_scope(private, homes.where(F.col("what") == "class").select("project", "path", "start_line", "end_line"))
-        .where(F.col("start_line").isNotNull())
-        .groupBy("project", "path", F.col("start_line").alias("class_line"))
-        .agg(F.min("line_num").alias("private_from"))
-    )
-    methods = (
-        ranges.where(F.col("what") == "def")
-        .join(home, inner, "left")
-        .groupBy("project", "path", "start_line", "end_line", "name")
-        .agg(F.array_sort(F.collect_list("home")).alias("homes"))
-        .withColumn("homes", F.filter("homes", lambda h: h.isNotNull()))
-        .withColumn("owner", F.try_element_at("homes", F.lit(-1)))
-        .withColumn("class_line", F.coalesce("owner.start_line", F.lit(0)))
-        .join(class_private, ["project", "path", "class_line"], "left")
-    )
-    root = P.matching_root("path", roots)
+    lines = source_lines(files.where(scanner_kind("path") == "ruby"))
+    definition = F.struct(F.col("start_line").alias("start"), F.col("end_line").alias("end"), "what", "name")
+    per_file = _definition_lines(lines).groupBy("project", "path").agg(F.array_sort(F.collect_list(definition)).alias("all"))
     skipped = [r.rstrip("/") for r in (exclude_method_name or [])]
-    no_method_name = F.col("path").contains("app/components/") | F.coalesce(F.rtrim(root, F.lit("/")).isin(skipped), F.lit(False))
+    staged = (
+        per_file.withColumn("homes", F.filter("all", lambda d: d["what"].isin("class", "module")))
+        .withColumn("_root", P.matching_root("path", roots))
+        .withColumn("_component", F.col("path").contains("app/components/"))
+        .withColumn("_no_name", F.col("_component") | F.coalesce(F.rtrim(F.col("_root"), F.lit("/")).isin(skipped), F.lit(False)))
+        .withColumn("_any_class", F.col("_component") | F.col("_root").isNotNull())
+    )
+    # Where each bare `private` stands: the start of the innermost class around it.
+    private = F.transform(
+        F.filter("all", lambda d: d["what"] == "private"),
+        lambda p: F.struct(
+            p["start"].alias("at"),
+            F.array_max(F.transform(F.filter("homes", lambda h: (h["what"] == "class") & (h["start"] < p["start"]) & (p["start"] < h["end"])), lambda h: h["start"])).alias("of"),
+        ),
+    )
+    methods = F.transform(
+        F.filter("all", lambda d: d["what"] == "def"),
+        lambda d: F.struct(
+            d["start"].alias("start"), d["end"].alias("end"), d["name"].alias("name"),
+            F.filter("homes", lambda h: (h["start"] < d["start"]) & (d["start"] < h["end"])).alias("homes"),
+        ),
+    )
+    owned = F.transform(
+        "methods",
+        lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["name"].alias("name"), m["homes"].alias("homes"), F.try_element_at(m["homes"], F.lit(-1)).alias("owner")),
+    )
 
     def home_path(h: Column) -> Column:
         snake = F.transform(F.split(h["name"], "::"), K.underscore)
-        controller = (h["what"] == "class") & h["name"].endswith("Controller")
-        last = F.regexp_replace(F.element_at(snake, -1), r"_controller\z", "")
-        return F.when(controller, F.concat(F.slice(snake, F.lit(1), F.size(snake) - 1), F.array(last))).otherwise(snake)
-
-    path = F.flatten(F.transform("homes", home_path))
-    owner_is_class = F.col("owner.what") == "class"
-    controller = F.coalesce(owner_is_class & F.col("owner.name").endswith("Controller"), F.lit(False))
-    supports = controller | F.coalesce(owner_is_class & (F.col("owner.name").endswith("Mailer") | F.col("path").contains("app/components/") | root.isNotNull()), F.lit(False))
-    is_private = F.coalesce(F.col("private_from") < F.col("start_line"), F.lit(False))
-    full = F.when(no_method_name, path).otherwise(F.concat(path, F.array("name")))
-    return methods.select(
-        "project", "path", "start_line", "end_line", F.when(supports & ~is_private, full).alias("context"), controller.alias("candidate")
+        cut = F.transform(snake, lambda part, i: F.when(i == F.size(snake) - 1, F.regexp_replace(part, r"_controller\z", "")).otherwise(part))
+        return F.when((h["what"] == "class") & h["name"].endswith("Controller"), cut).otherwise(snake)
+
+    def context(m: Column) -> Column:
+        owner = m["owner"]
+        supports = (owner["what"] == "class") & (F.col("_any_class") | owner["name"].endswith("Controller") | owner["name"].endswith("Mailer"))
+        hidden = F.exists("private", lambda p: (p["of"] == owner["start"]) & (p["at"] < m["start"]))
+        path = F.flatten(F.transform(m["homes"], home_path))
+        named = F.concat(path, F.when(F.col("_no_name"), F.array().cast("array<string>")).otherwise(F.array(m["name"])))
+        return F.when(F.coalesce(supports, F.lit(False)) & ~F.coalesce(hidden, F.lit(False)), named)
+
+    made = F.transform(
+        "owned",
+        lambda m: F.struct(
+            (m["end"] - m["start"]).alias("span"), (-m["start"]).alias("back"), m["start"].alias("start"), m["end"].alias("end"), context(m).alias("context"),
+            F.coalesce((m["owner"]["what"] == "class") & m["owner"]["name"].endswith("Controller"), F.lit(False)).alias("candidate"),
+        ),
+    )
+    return (
+        staged.withColumn("private", private).withColumn("methods", methods).withColumn("owned", owned).select("project", "path", made.alias("methods"))
     )
 
 
 def scan_ruby(files: DataFrame, roots: list[str], exclude_method_name: list[str] | None = None) -> DataFrame:
-    """Occurrences of Ruby files. Only relative keys look for their method."""
-    calls = _ruby_calls(files.where(scanner_kind("path") == "ruby"))
-    contexts = method_contexts(files.where(has_needle("content")), roots, exclude_method_name)
-    plain = calls.where(~F.col("relative")).withColumn("context", F.lit(None).cast("array<string>")).withColumn("candidate", F.lit(False))
-    placed = innermost_scope(calls.where("relative"), contexts).drop("start_line", "end_line")
-    out = _ruby_results(plain).unionByName(_ruby_results(placed))
+    """Occurrences of Ruby files; a relative key takes the context of the innermost method around it."""
+    ruby = files.where(scanner_kind("path") == "ruby").where(has_needle("content"))
+    calls = _ruby_calls(ruby).join(method_contexts(ruby, roots, exclude_method_name), ["project", "path"], "left")
+    around = F.array_min(F.filter("methods", lambda m: (m["start"] <= F.col("line_num")) & (F.col("line_num") <= m["end"])))
+    placed = calls.withColumn("_method", F.when(F.col("relative"), around)).withColumn("context", F.col("_method.context"))
+    out = _ruby_results(placed.withColumn("candidate", F.col("_method.candidate")).drop("methods", "_method"))
     return comment_covers_next(out).select(*OCCURRENCE)
 
 

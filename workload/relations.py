@@ -21,13 +21,30 @@ _TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table. The plan is kept per session, so a query that uses a table several times
-    reads its schema once."""
+    reads its schema once.
+
+    A table stored as fewer splits than there are cores (one small file, as in the samples)
+    is spread by its key first, or all narrow work on it would run on one core. A large
+    table has splits enough and is taken as it is.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        cores = spark.sparkContext.defaultParallelism
+        if name in _SPREAD_BY and df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores, _SPREAD_BY[name])
+        _TABLES[key] = df
     return _TABLES[key]
 
 
+_SPREAD_BY = {"orders": "o_orderkey", "lineitem": "l_orderkey", "documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "events": "event_id"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rendered files over all cores: adaptive execution would join a few small ones into one task."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, "project", "path")
+
+
 def _structs(**columns) -> Column:
     n = len(next(iter(columns.values())))
     return F.array(*[F.struct(*[F.lit(v[i]).alias(k) for k, v in columns.items()]) for i in range(n)])
@@ -233,7 +250,7 @@ def template_lines(spark, sf_dir) -> DataFrame:
 
 def template_files(spark, sf_dir) -> DataFrame:
     """The template lines of each path as a file."""
-    return _lines_to_files(template_lines(spark, sf_dir), ["pos"])
+    return spread(_lines_to_files(template_lines(spark, sf_dir), ["pos"]))
 
 
 def tag_files(spark, sf_dir) -> DataFrame:
@@ -244,9 +261,9 @@ def tag_files(spark, sf_dir) -> DataFrame:
         "<% x = t \"part.", F.col("p_name"), "\" %> t('outside')\n", "<%= t(\"part.#{x}.k", k, "\") %> <%= t(value) %>\n",
         f"<% # {MARK} t('part.next", k, "') %>\n", "<%= t(covered) %>",
     )
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part").select(
         F.lit("high").alias("project"), text("app/views/parts/b", s("p_size"), "/_p", k, ".html.erb").alias("path"), content.alias("content")
-    )
+    ))
 
 
 def ruby_files(spark, sf_dir) -> DataFrame:
@@ -257,7 +274,7 @@ def ruby_files(spark, sf_dir) -> DataFrame:
         "')\n      end\n    end\n\n    def show = t('.short')\n\n    private\n\n    def helper\n      t('.hidden')\n      t(\"dyn.#{x}.k", k,
         "\")\n      t(:m, scope: [:shop, KIND])\n      t(value)\n    end\n  end\nend\n",
     )
-    return keys(spark, sf_dir).select("project", text("app/controllers/admin/o", k, "_controller.rb").alias("path"), content.alias("content"))
+    return spread(keys(spark, sf_dir).select("project", text("app/controllers/admin/o", k, "_controller.rb").alias("path"), content.alias("content")))
 
 
 def prose_files(spark, sf_dir) -> DataFrame:

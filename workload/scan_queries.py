@@ -165,9 +165,9 @@ vectors("P9_valid_key", S.valid_key, [
 vectors("P12_receiver_filter", _line_calls, [
     ("Foo{id}.t('x')", "0"), ("foo.translate('x{id}')", "0"), ("::I18n.t('x{id}')", "1"), ("I18n.translate!('x{id}')", "1"), ("a&.t('x{id}')", "0"),
 ])
-vectors("P14_reduce_argument", lambda t: F.concat_ws(" ", S.reduce_argument(t)["kind"], S.reduce_argument(t)["text"]), [
+_staged("P14_reduce_argument", lambda df: S.reduce_argument(df).withColumn("result", F.concat_ws(" ", "arg_kind", "arg_text")), [
     ("'a.{id}'", "key a.{id}"), ('"a" ".b{id}"', "key a.b{id}"), ('"a{id}" \\\n  ".b"', "key a{id}.b"), (':"a.#{x}.{id}"', "pattern a.*:.{id}"), ("var{id}", "opaque var{id}"), ("CONST_{id}", "opaque CONST_{id}"), ("@x{id}", "opaque @x{id}"), (":sym{id}", "key sym{id}"), ("1{id}", "1{id}"),
-])
+], lambda df: df.withColumn("arg", F.col("text")))
 vectors("P15_keyword_scope", S.keyword_scope, [
     ("[:a{id}, [:b, nil]]", "a{id}.b"), ("'a{id}'", "a{id}"), ("[:a{id}, CONST]", "a{id}.*"), ('"a.#{x}.{id}"', "a.*:.{id}"), ("CONST{id}", None), ("[v{id}]", None), ("5", None), ("{a: {id}}", None), ("nil", ""), ("%w[a b{id}]", "a.b{id}"), ("", None),
 ])
