@@ -74,7 +74,7 @@ def last_key_part(key) -> Column:
 def parent_key(key) -> Column:
     """Text before the last dot; null at the root."""
     key = _col(key)
-    return F.when(key.contains("."), F.regexp_extract(key, r"(?s)\A(.*)\.", 1))
+    return F.when(key.contains("."), F.left(key, F.length(key) - F.length(F.substring_index(key, ".", -1)) - 1))
 
 
 def last_segment(key) -> Column:
@@ -82,10 +82,18 @@ def last_segment(key) -> Column:
     return F.substring_index(_col(key), ".", -1)
 
 
+def _n_segments(key: Column) -> Column:
+    return F.length(key) - F.length(F.replace(key, F.lit("."), F.lit(""))) + 1
+
+
+def _prefix(key: Column, n: Column) -> Column:
+    return F.call_function("substring_index", key, F.lit("."), n)
+
+
 def ancestors(key) -> Column:
     """The key and each of its dotted prefixes, shortest first."""
-    seg = segments_of(key)
-    return F.transform(F.sequence(F.lit(1), F.size(seg)), lambda i: F.array_join(F.slice(seg, F.lit(1), i), "."))
+    key = _col(key)
+    return F.transform(F.sequence(F.lit(1), _n_segments(key)), lambda n: _prefix(key, n))
 
 
 def proper_ancestors(key) -> Column:
@@ -95,8 +103,11 @@ def proper_ancestors(key) -> Column:
 
 
 def is_plural_category(key) -> Column:
-    """The last part names one of the six categories (``0`` and ``1`` do not count here)."""
-    return last_key_part(key).isin(PLURAL_CATEGORIES)
+    """The last part names one of the six categories (``0`` and ``1`` do not count here).
+
+    The cheap test on the last segment rules nearly every key out before brackets matter.
+    """
+    return last_segment(key).isin(PLURAL_CATEGORIES) & last_key_part(key).isin(PLURAL_CATEGORIES)
 
 
 def underscore(word) -> Column:

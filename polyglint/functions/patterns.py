@@ -152,17 +152,26 @@ def unmatched(df: DataFrame, patterns: DataFrame, key: str = "key", locale: str
 
 
 def matched(df: DataFrame, patterns: DataFrame, key: str = "key", locale: str | None = None) -> DataFrame:
-    """Rows of ``df`` whose key some pattern of the project matches, each row once."""
-    filed = _prepare(patterns)
-    hits, rest = [], df
-    for kind in KINDS:
-        side, on = _sides(filed, key, kind)
-        hits.append(rest.join(side, on & _locale_condition(locale), "left_semi"))
-        rest = rest.join(side, on & _locale_condition(locale), "left_anti")
-    out = hits[0]
-    for h in hits[1:]:
-        out = out.unionByName(h)
-    return out
+    """The distinct rows of ``df`` whose key some pattern of the project matches.
+
+    Each key looks under its three anchors in one join, so ``df`` is read once.
+    """
+    filed = _prepare(patterns).withColumn("p_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    k = F.col(key)
+    anchors = F.array(
+        F.struct(F.lit("head").alias("kind"), F.substring_index(k, ".", 1).alias("anchor")),
+        F.struct(F.lit("tail").alias("kind"), last_segment(key).alias("anchor")),
+        F.struct(F.lit("open").alias("kind"), F.lit("").alias("anchor")),
+    )
+    on = (
+        (F.col("p_project") == F.col("project"))
+        & (F.col("p_kind") == F.col("_at.kind"))
+        & (F.col("p_anchor") == F.col("_at.anchor"))
+        & (F.col("p_salt") == F.pmod(F.xxhash64(k), F.lit(SALT)).cast("int"))
+        & F.rlike(k, F.col("p_regex"))
+    )
+    probes = df.withColumn("_at", F.explode(anchors))
+    return probes.join(filed, on & _locale_condition(locale), "left_semi").drop("_at").distinct()
 
 
 def matching_pairs(df: DataFrame, patterns: DataFrame, key: str = "key", locale: str | None = None) -> DataFrame:

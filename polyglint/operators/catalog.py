@@ -141,10 +141,13 @@ def present_keys(tr: DataFrame) -> DataFrame:
 
 def _child_links(tr: DataFrame) -> DataFrame:
     """(parent, child, is_leaf) for every step from a top-level key down to each leaf."""
-    chain = K.ancestors("key")
     links = F.transform(
-        F.slice(chain, F.lit(2), F.size(chain)),
-        lambda node: F.struct(K.parent_key(node).alias("parent"), K.last_segment(node).alias("child"), (node == F.col("key")).alias("is_leaf")),
+        K.proper_ancestors("key"),
+        lambda node, i: F.struct(
+            node.alias("parent"),
+            F.substring_index(F.substring(F.col("key"), F.length(node) + 2, F.length("key")), ".", 1).alias("child"),
+            (i == K._n_segments(F.col("key")) - 2).alias("is_leaf"),
+        ),
     )
     return tr.select("project", "locale", F.explode(links).alias("link")).select("project", "locale", "link.*")
 

@@ -106,14 +106,17 @@ def missing_used(occ: DataFrame, tr: DataFrame, rules: DataFrame | None, locales
     keys = U.keys_of(occ)
     candidates = F.when(F.size("candidate_keys") > 0, F.col("candidate_keys")).otherwise(F.array("key"))
     pairs = keys.select("project", "key", F.explode(candidates).alias("candidate")).distinct()
-    first = keys.groupBy("project", "key").agg(F.min_by(F.struct("path", F.col("line_num").alias("line")), F.struct("path", "pos")).alias("first"))
     found = pairs.join(C.present_keys(tr).withColumnRenamed("key", "candidate"), ["project", "candidate"]).select("project", "locale", "key")
-    missing = first.join(locales.select("project", "locale"), "project").join(found, ["project", "locale", "key"], "left_anti")
+    asked = keys.select("project", "key").distinct().join(locales.select("project", "locale"), "project")
+    missing = asked.join(found, ["project", "locale", "key"], "left_anti").select("project", "locale", "key")
     if rules is not None:
-        left = missing.select("project", "locale", "key").join(pairs, ["project", "key"])
-        excused = R.only_ignored(left, rules, "missing", "candidate", "locale").select("project", "locale", "key")
+        excused = R.only_ignored(missing.join(pairs, ["project", "key"]), rules, "missing", "candidate", "locale").select("project", "locale", "key")
         missing = missing.join(excused, ["project", "locale", "key"], "left_anti")
-    return as_findings(missing.select("project", "locale", "key", "first.*"), "missing", "used")
+    # The first occurrence is looked up for missing keys only: one of text needs a sort.
+    places = keys.select("project", "key", "path", "pos", F.col("line_num").alias("line"))
+    first = F.min_by(F.struct("path", "line"), F.struct("path", "pos"))
+    rows = missing.join(places, ["project", "key"]).groupBy("project", "locale", "key").agg(first.alias("first"))
+    return as_findings(rows.select("project", "locale", "key", "first.*"), "missing", "used")
 
 
 def _compared(tr: DataFrame, leaves: DataFrame, locales: DataFrame, selected: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -149,21 +152,9 @@ def first_per_key(rows: DataFrame) -> DataFrame:
 
 def missing_diff(tr: DataFrame, rules: DataFrame | None, locales: DataFrame, selected: DataFrame | None = None) -> DataFrame:
     """Base leaves absent elsewhere; and, when base is selected, leaves of every other locale
-    absent in base. Plural forms, and then locales, fold before the presence test."""
-    shown = V.display_value("value_type", "value")
-    folded = (
-        _source_leaves(tr)
-        .groupBy("project", "present_in", F.col("dep_key").alias("key"))
-        .agg(F.min_by(shown, "key").alias("value"))
-    )
-    away, back = _compared(tr, folded, locales, locales if selected is None else selected)
-    back = (
-        back.groupBy("project", "locale", "key")
-        .agg(F.min_by(F.struct("present_in", "value"), "rank").alias("first"))
-        .select("project", "locale", "key", "first.*")
-    )
-    rows = absent(away.select("project", "locale", "key", "present_in", "value").unionByName(back), tr)
-    return as_findings(R.without_ignored(rows, rules, "missing", "key", "locale"), "missing", "diff")
+    absent in base. Presence and rules depend on the folded key alone, so the forms and locales
+    that fold into one row do so among the few rows that are left."""
+    return as_findings(first_per_key(diff_leaves(tr, rules, locales, selected)), "missing", "diff")
 
 
 def missing_plural(tr: DataFrame, dim: DataFrame, rules: DataFrame | None, locales: DataFrame) -> DataFrame:
