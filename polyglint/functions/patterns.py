@@ -151,12 +151,8 @@ def unmatched(df: DataFrame, patterns: DataFrame, key: str = "key", locale: str
     return df
 
 
-def matched(df: DataFrame, patterns: DataFrame, key: str = "key", locale: str | None = None) -> DataFrame:
-    """The distinct rows of ``df`` whose key some pattern of the project matches.
-
-    Each key looks under its three anchors in one join, so ``df`` is read once.
-    """
-    filed = _prepare(patterns).withColumn("p_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+def _anchored(df: DataFrame, filed: DataFrame, key: str):
+    """Both sides of one join that looks a key up under each of its three anchors."""
     k = F.col(key)
     anchors = F.array(
         F.struct(F.lit("head").alias("kind"), F.substring_index(k, ".", 1).alias("anchor")),
@@ -170,16 +166,21 @@ def matched(df: DataFrame, patterns: DataFrame, key: str = "key", locale: str |
         & (F.col("p_salt") == F.pmod(F.xxhash64(k), F.lit(SALT)).cast("int"))
         & F.rlike(k, F.col("p_regex"))
     )
-    probes = df.withColumn("_at", F.explode(anchors))
+    salted = filed.withColumn("p_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return df.withColumn("_at", F.explode(anchors)), salted, on
+
+
+def matched(df: DataFrame, patterns: DataFrame, key: str = "key", locale: str | None = None) -> DataFrame:
+    """The distinct rows of ``df`` whose key some pattern of the project matches."""
+    probes, filed, on = _anchored(df, _prepare(patterns), key)
     return probes.join(filed, on & _locale_condition(locale), "left_semi").drop("_at").distinct()
 
 
 def matching_pairs(df: DataFrame, patterns: DataFrame, key: str = "key", locale: str | None = None) -> DataFrame:
-    """Inner form: every (row, pattern) that matches. Only for sides that are aggregated next."""
-    filed = file_patterns(patterns, "p_pattern")
-    out = None
-    for kind in KINDS:
-        side, on = _sides(filed, key, kind)
-        part = df.join(side, on & _locale_condition(locale), "inner").drop("p_salt")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Each row with each pattern that matches its key, for results that are aggregated next.
+
+    ``patterns``: p_project, p_pattern, p_group and whatever else should come along. Without a
+    ``locale`` column groups are not tested; the caller does it.
+    """
+    probes, filed, on = _anchored(df, file_patterns(patterns, "p_pattern"), key)
+    return probes.join(filed, on if locale is None else on & _locale_condition(locale)).drop("_at", "p_salt")

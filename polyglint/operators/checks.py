@@ -107,11 +107,10 @@ def missing_used(occ: DataFrame, tr: DataFrame, rules: DataFrame | None, locales
     candidates = F.when(F.size("candidate_keys") > 0, F.col("candidate_keys")).otherwise(F.array("key"))
     pairs = keys.select("project", "key", F.explode(candidates).alias("candidate")).distinct()
     found = pairs.join(C.present_keys(tr).withColumnRenamed("key", "candidate"), ["project", "candidate"]).select("project", "locale", "key")
+    if rules is not None:
+        found = found.unionByName(R.ignored_in(pairs, rules, "missing", locales, "candidate").select("project", "locale", "key"))
     asked = keys.select("project", "key").distinct().join(locales.select("project", "locale"), "project")
     missing = asked.join(found, ["project", "locale", "key"], "left_anti").select("project", "locale", "key")
-    if rules is not None:
-        excused = R.only_ignored(missing.join(pairs, ["project", "key"]), rules, "missing", "candidate", "locale").select("project", "locale", "key")
-        missing = missing.join(excused, ["project", "locale", "key"], "left_anti")
     # The first occurrence is looked up for missing keys only: one of text needs a sort.
     places = keys.select("project", "key", "path", "pos", F.col("line_num").alias("line"))
     first = F.min_by(F.struct("path", "line"), F.struct("path", "pos"))

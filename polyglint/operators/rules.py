@@ -48,8 +48,13 @@ def without_ignored(df: DataFrame, rules: DataFrame | None, kind: str, key: str
     return df if rules is None else M.unmatched(df, _of_kind(rules, kind), key, locale)
 
 
-def only_ignored(df: DataFrame, rules: DataFrame, kind: str, key: str = "key", locale: str | None = None) -> DataFrame:
-    return M.matched(df, _of_kind(rules, kind), key, locale)
+def ignored_in(keys: DataFrame, rules: DataFrame, kind: str, locales: DataFrame, key: str = "key") -> DataFrame:
+    """(columns of ``keys``, locale) for every locale whose rules of the kind match. The regexes run
+    once per key, not once per key and locale."""
+    named = _of_kind(rules, kind).select(F.col("project").alias("p_project"), F.col("pattern").alias("p_pattern"), F.col("locale_group").alias("p_group"))
+    hits = M.matching_pairs(keys, named, key).select(*keys.columns, "p_group").distinct()
+    wide = F.col("p_group").isNull() | (F.col("p_group") == "all")
+    return hits.join(locales.select("project", "locale"), "project").where(wide | (F.col("p_group") == F.col("locale"))).select(*keys.columns, "locale")
 
 
 def stale_rules(rules: DataFrame, findings: DataFrame) -> DataFrame:
