@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyglint.llm import exact, mixing, warc
+from polyglint.llm import exact, labelled, mixing, quality, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +109,49 @@ def op4_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC archives and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _scores(rows: DataFrame, value: str, threshold: float) -> DataFrame:
+    return rows.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), F.col(value).alias("score"), (F.col(value) >= threshold).cast("int").alias("predicted"))
+
+
+@query()
+def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    return _scores(quality.line_quality(docs, quality.train(docs, labels)), "quality", quality.THRESHOLD)
+
+
+@query()
+def op6_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    return _scores(toxicity.toxic_spans(docs, toxicity.train(docs, labels)), "toxicity", toxicity.THRESHOLD)
+
+
+@query(
+    r"""
+    WITH texts AS (
+        SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+    ), passages AS (
+        SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM texts WHERE len(words) >= 50)
+    ), firsts AS (
+        SELECT h, min(doc_id) AS a FROM passages GROUP BY h
+    ), covered AS (
+        SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM passages JOIN firsts USING (h) WHERE doc_id > a
+    ), cuts AS (
+        SELECT doc_id, list(i) AS gone FROM covered GROUP BY doc_id
+    ), kept AS (
+        SELECT t.doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
+               [words[i] FOR i IN range(1, len(words) + 1) IF NOT list_contains(coalesce(gone, []), i)] AS left_words
+        FROM texts t LEFT JOIN cuts c ON t.doc_id = c.doc_id
+    )
+    SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
+           sha256(coalesce(array_to_string(left_words, ' '), '')) AS kept_sha256
+    FROM kept
+    """
+)
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 words that an earlier document has."""
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
