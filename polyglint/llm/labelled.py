@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Documents of the sample, and bytes of the longest text in it. A sample is at most their product.
-SAMPLE_DOCUMENTS = 3000
+SAMPLE_DOCUMENTS = 2500
 SAMPLE_TEXT_BYTES = 20_000
 #: Rows with this remainder are held out: nothing is learned from them.
 FOLDS, HELD_OUT_FOLD = 4, 2

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyglint.llm import exact, labelled, mixing, quality, substring, toxicity, warc
+from polyglint.llm import exact, labelled, lineruns, mixing, pii, quality, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -155,3 +155,38 @@ def op6_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 words that an earlier document has."""
     return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_revealing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: fixed patterns, and terms that reveal what they found."""
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["kind"] != "term")
+    counts = [f"n_{k}" for k in pii.PATTERNS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("found")).alias("spans"), "n_term")
+
+
+@query(
+    """
+    WITH texts AS (
+        SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+    ), runs AS (
+        SELECT doc_id, i, lines[i] AS one, lines[i + 1] AS two
+        FROM (SELECT doc_id, lines, unnest(range(1, len(lines))) AS i FROM texts)
+    ), ranked AS (
+        SELECT doc_id, i, row_number() OVER (PARTITION BY one, two ORDER BY doc_id, i) AS n FROM runs
+    ), covered AS (
+        SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM ranked WHERE n > 1
+    ), cuts AS (
+        SELECT doc_id, list(i) AS gone FROM covered GROUP BY doc_id
+    )
+    SELECT t.doc_id, len(lines)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
+           sha256(array_to_string([lines[i] FOR i IN range(1, len(lines) + 1) IF NOT list_contains(coalesce(gone, []), i)], chr(10))) AS kept_sha256
+    FROM texts t LEFT JOIN cuts c ON t.doc_id = c.doc_id
+    """
+)
+def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the runs of two lines or more that stand earlier."""
+    kept = lineruns.without_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return kept.select("doc_id", F.col("lines_before").alias("n_lines"), F.col("lines_removed").alias("n_removed"), sha.alias("kept_sha256"))

@@ -19,7 +19,7 @@ FEATURE_BITS = 18
 PREFIXES, SUFFIXES = (4, 5, 6), (4,)
 #: A word counts as toxic for learning if one of its features stands in this part of the toxic documents at least, and
 #: so many times (as a natural logarithm) as often there as in others.
-LEAST_PART, LEAST_RATIO = 0.01, 3.0
+LEAST_PART, LEAST_RATIO = 0.03, 3.0
 THRESHOLD = 0.3
 
 
@@ -95,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     def gradient(residual):
         return np.append(sum(np.bincount(f, residual, minlength=size) for f in features), residual.sum())
 
-    weights, transitions = crf.fit(scores, gradient, size + 1, tags, words.first, rounds=40, pull=5.0)
+    weights, transitions = crf.fit(scores, gradient, size + 1, tags, words.first, rounds=30, pull=5.0)
     p = crf.marginals(scores(weights), words.first, transitions)
     calibration = crf.logistic(_document_features(p, words.first), toxic)
     return Model(weights[:-1].astype(np.float32), float(weights[-1]), transitions, calibration)
