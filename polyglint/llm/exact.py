@@ -61,7 +61,8 @@ def exact_duplicates(docs: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> Data
         )
         level = saved(named(pairs, ["left", "right"], "name"))
     doc_key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
-    groups = level.groupBy("size", "name").agg(F.min(doc_key).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that both sides of the join are dealt out by it and a large group can be split
+    groups = saved(level.groupBy("size", "name").agg(F.min(doc_key).alias("first"), F.count(F.lit(1)).alias("group_size")))
     return level.join(groups, ["size", "name"]).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
