@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyglint.llm import exact, labelled, lineruns, mixing, pii, quality, substring, toxicity, warc
+from polyglint.llm import decontamination, exact, labelled, lineruns, mixing, pii, quality, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -190,3 +190,9 @@ def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lineruns.without_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
     sha = F.sha2(F.coalesce("text", F.lit("")), 256)
     return kept.select("doc_id", F.col("lines_before").alias("n_lines"), F.col("lines_removed").alias("n_removed"), sha.alias("kept_sha256"))
+
+
+@query()
+def op5_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the best window."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -17,6 +17,8 @@ from polyglint.llm.storage import shared_folder
 
 #: Bytes of an archive that a reading task scans for members starting in them.
 SPLIT_BYTES = 8 << 20
+#: Tasks that read archives at most; beyond, a task reads several ranges.
+MOST_TASKS = 20_000
 #: Bytes read from an archive at once, and bytes of a member inflated at once.
 READ_BYTES = 1 << 20
 INFLATE_BYTES = 1 << 14
@@ -251,7 +253,9 @@ def read_archives(spark: SparkSession, folder: str, files: DataFrame, *, split_b
 
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
     splits = files.select("path", "bytes", F.explode(starts).alias("start"))
-    return splits.repartition("path", "start").mapInArrow(read, RECORD)
+    # the rows are tiny and the work behind them is not: a number of tasks is stated, so that they are not put together
+    tasks = min(MOST_TASKS, max(1, splits.count()))
+    return splits.repartition(tasks).mapInArrow(read, RECORD)
 
 
 def round_trip(pages: DataFrame, *, folder: str | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
