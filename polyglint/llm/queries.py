@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyglint.llm import decontamination, exact, labelled, lineruns, mixing, pii, quality, substring, toxicity, warc
+from polyglint.llm import decontamination, exact, jaccard, labelled, lineruns, mixing, pii, quality, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -196,3 +196,33 @@ def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the best window."""
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    r"""
+    WITH RECURSIVE texts AS (
+        SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+        FROM documents
+    ), sets AS (
+        SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+               ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s
+        FROM texts
+    ), grams AS (
+        SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+    ), pairs AS (
+        SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+    ), reach AS (
+        SELECT a AS node, b AS other FROM pairs
+        UNION
+        SELECT reach.node, pairs.b FROM reach JOIN pairs ON reach.other = pairs.a
+    ), least AS (
+        SELECT node, min(other) AS low FROM reach GROUP BY node
+    )
+    SELECT s.doc_id, len(s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(low, s.doc_id)) AS component_id
+    FROM sets s LEFT JOIN least l ON s.doc_id = l.node
+    """
+)
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with similar shingle sets."""
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
