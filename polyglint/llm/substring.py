@@ -117,7 +117,7 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFra
     long_enough = sketch.where((F.col("n_words") >= min_words) & F.col("doc_id").isNotNull())
     signature = ["n_words", "sig1", "sig2"]
     groups = long_enough.groupBy(*signature).agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).where("keep < last")
-    copies = saved(long_enough.select("doc_id", "key", *signature).join(groups, signature).where("doc_id > keep").select("doc_id", "key").distinct())
+    copies = saved(long_enough.select("doc_id", "key", *signature).join(saved(groups), signature).where("doc_id > keep").select("doc_id", "key").distinct())
 
     seeds = long_enough.join(copies, ["doc_id", "key"], "left_anti").select("doc_id", "key", F.explode("seeds").alias("seed"))
     shared = seeds.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("seed")
