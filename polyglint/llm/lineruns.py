@@ -75,9 +75,11 @@ def without_repeated_runs(docs: DataFrame, *, min_lines: int = MIN_LINES, text:
     runs = repeated_runs(docs.select("doc_id", F.col(text).alias("text")), min_lines=min_lines)
     runs = runs.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_runs"))
     runs = runs.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "_runs")
-    rows = docs.drop("lines_before", "lines_removed")
-    joined = rows.join(runs, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64(F.col(text)) == F.col("_key")), "left")
-    lines, found = _lines(F.col(text)), F.col("_runs")
+    # the row's own columns stand in a struct, so that their names meet none of these
+    own = [c for c in docs.columns if c not in ("lines_before", "lines_removed")]
+    rows = docs.select(F.col("doc_id").alias("_at"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"), F.struct(*own).alias("_row"))
+    joined = rows.join(runs, (F.col("_at") == F.col("_doc")) & (F.col("_hash") == F.col("_key")), "left")
+    found = F.col("_runs")
     gaps = F.zip_with(
         F.concat(F.array(F.lit(0)), F.transform(found, lambda r: r["end"])),
         F.concat(F.transform(found, lambda r: r["start"]), F.array(F.size("_lines"))),
@@ -85,9 +87,9 @@ def without_repeated_runs(docs: DataFrame, *, min_lines: int = MIN_LINES, text:
     )
     removed = F.aggregate(found, F.lit(0), lambda n, r: n + r["end"] - r["start"])
     kept = F.array_join(F.flatten(gaps), "\n")
-    done = joined.withColumn("_lines", lines).withColumn("_kept", F.when(found.isNotNull(), kept).otherwise(F.col(text)))
+    done = joined.withColumn("_lines", _lines(F.col("_text"))).withColumn("_kept", F.when(found.isNotNull(), kept).otherwise(F.col("_text")))
     return done.select(
-        *[F.col("_kept").alias(text) if c == text else F.col(c) for c in rows.columns],
+        *[F.col("_kept").alias(text) if c == text else F.col("_row")[c].alias(c) for c in own],
         F.size("_lines").cast("long").alias("lines_before"),
         F.coalesce(removed, F.lit(0)).cast("long").alias("lines_removed"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Digits of the order key that name a slice of a source. Running sums are taken in a slice and over the slices.
 SLICE_DIGITS = 3
+_INNER = ("_key", "_slice", "_in_slice", "_source", "_of", "_before", "_plan", "_within", "_at")
 
 
 def words_in(text: Column) -> Column:
@@ -60,10 +61,11 @@ def curriculum(docs: DataFrame, plan: DataFrame) -> DataFrame:
     Running sums: a source is cut into slices by the first digits of the key; slices are summed, their sums
     accumulated per source (a few thousand rows), and each slice accumulates its own rows. No task holds a source.
 
-    Adds: epoch (0, 1, ...), take, position in [0, 1]. Ties in md5 are in the order of doc_id; rows that repeat a
+    Adds: epoch (0, 1, ...), take, position in [0, 1], source_size, target; columns of these names are replaced. Ties in md5 are in the order of doc_id; rows that repeat a
     doc_id are ordered by size. A null source is a source of its own, a null doc_id has its own key. Documents without
     words are never taken and so are not in the stream.
     """
+    docs = docs.drop("epoch", "take", "position", "source_size", "target", "w_start", "w_end", *_INNER)
     key = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
     keyed = docs.withColumn("_key", key).withColumn("_slice", F.substring("_key", 1, SLICE_DIGITS))
     slices = keyed.groupBy("source", "_slice").agg(F.sum("size").alias("_in_slice"))

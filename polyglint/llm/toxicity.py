@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from polyglint.llm import crf, labelled
 from polyglint.llm.scoring import scored
-from polyglint.llm.words import Words, mixed, words_of
+from polyglint.llm.words import Words, chunks, mixed, words_of
 
 #: Weights of the hashed features; fixes the size of the model.
 FEATURE_BITS = 18
@@ -126,5 +127,12 @@ def toxic_spans(docs: DataFrame, model: Model) -> DataFrame:
     return scored(docs, model, score, "toxicity double, toxic_spans array<struct<start: long, end: long>>")
 
 
-def decided(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> DataFrame:
-    return toxic_spans(docs, model).withColumn("toxic", F.col("toxicity") >= threshold)
+def without_toxic(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows whose toxicity is at least ``threshold``; columns as they are. Cases as above."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            yield batch.filter(pc.less(score(shared.value, batch.column("text"))[0], threshold))
+
+    return docs.mapInArrow(run, docs.schema)
