@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from polyglint.functions.keys import _col, looks_like_locale, regex_group
 
 # Files that are never searched, whatever the settings say.
-ALWAYS_EXCLUDED = (
-    "*.jpg *.jpeg *.png *.gif *.svg *.ico *.eot *.otf *.ttf *.woff *.woff2 *.pdf *.css *.sass *.scss *.less "
-    "*.yml *.json *.zip *.tar.gz *.swf *.flv *.mp3 *.wav *.flac *.webm *.mp4 *.ogg *.opus *.webp *.map *.xlsx"
-).split()
+ALWAYS_EXCLUDED = [
+    "*.jpg", "*.jpeg", "*.png", "*.gif", "*.svg", "*.ico", "*.eot", "*.otf", "*.ttf", "*.woff", "*.woff2", "*.pdf",
+    "*.css", "*.sass", "*.scss", "*.less", "*.yml", "*.json", "*.zip", "*.tar.gz", "*.swf", "*.flv", "*.mp3",
+    "*.wav", "*.flac", "*.webm", "*.mp4", "*.ogg", "*.opus", "*.webp", "*.map", "*.xlsx",
+]
 
 
 def glob_to_regex(glob: str) -> str:

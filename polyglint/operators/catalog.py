@@ -13,24 +13,56 @@ from polyglint.functions import keys as K
 from polyglint.functions import paths as P
 from polyglint.functions import values as V
 
-# Locales by the plural categories each one needs.
-CATEGORIES_BY_LOCALES = {
-    "one other": (
-        "bg bn ca da de de-AT de-CH de-DE el el-CY en en-AU en-CA en-CY en-GB en-IE en-IN en-NZ en-TT en-US en-ZA eo "
-        "es es-419 es-AR es-CL es-CO es-CR es-EC es-ES es-MX es-NI es-PA es-PE es-US es-VE et eu fi fr fr-CA fr-CH fr-FR "
-        "fy gl he hi hi-IN hu is it it-CH ka kk lv mg mk ml mn mr-IN nb ne nl nn oc or pa pt pt-BR sc st sv sv-SE sw ta tl tr ur"
+# Locales, and the plural categories they need.
+CATEGORIES_BY_LOCALES = [
+    (
+        [
+            "bg", "bn", "ca", "da", "de", "de-AT", "de-CH", "de-DE", "el", "el-CY", "en", "en-AU", "en-CA",
+            "en-CY", "en-GB", "en-IE", "en-IN", "en-NZ", "en-TT", "en-US", "en-ZA", "eo", "es", "es-419", "es-AR",
+            "es-CL", "es-CO", "es-CR", "es-EC", "es-ES", "es-MX", "es-NI", "es-PA", "es-PE", "es-US", "es-VE",
+            "et", "eu", "fi", "fy", "gl", "he", "hu", "is", "it", "it-CH", "ka", "kk", "mn", "nb", "ne", "nl",
+            "nn", "oc", "pt", "pt-BR", "sc", "st", "sv", "sv-SE", "sw", "ta", "tr", "ur", "fr", "fr-CA", "fr-CH",
+            "fr-FR", "hi", "hi-IN", "mg", "ml", "mr-IN", "or", "pa", "tl", "lv", "mk",
+        ],
+        ["one", "other"],
     ),
-    "other": "az fa id ja km kn ko lo ms pap-AW pap-CW th vi wo zh-CN zh-HK zh-TW zh-YUE",
-    "one few other": "bs cs hr lt ro sk sr",
-    "one few many other": "be pl ru uk",
-    "one two few other": "gd hsb sl",
-    "zero one two few many other": "ar",
-}
+    (
+        [
+            "az", "fa", "id", "ja", "km", "kn", "ko", "lo", "ms", "pap-AW", "pap-CW", "th", "vi", "wo", "zh-CN",
+            "zh-HK", "zh-TW", "zh-YUE",
+        ],
+        ["other"],
+    ),
+    (
+        [
+            "bs", "hr", "sr", "cs", "sk", "ro", "lt",
+        ],
+        ["one", "few", "other"],
+    ),
+    (
+        [
+            "be", "ru", "uk", "pl",
+        ],
+        ["one", "few", "many", "other"],
+    ),
+    (
+        [
+            "gd", "hsb", "sl",
+        ],
+        ["one", "two", "few", "other"],
+    ),
+    (
+        [
+            "ar",
+        ],
+        ["zero", "one", "two", "few", "many", "other"],
+    ),
+]
 
 
 def plural_dim(spark) -> DataFrame:
     """(locale, categories): a constant of about 110 rows."""
-    rows = [(loc, cats.split()) for cats, locs in CATEGORIES_BY_LOCALES.items() for loc in locs.split()]
+    rows = [(locale, categories) for locales, categories in CATEGORIES_BY_LOCALES for locale in locales]
     return spark.createDataFrame(rows, "locale string, categories array<string>")
 
 

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from polyglint.functions import keys as K
 from polyglint.functions import paths as P
 
-# A comment naming keys carries this marker: the family of `i18n-<tool>-use` words.
-MARKER = r"i18n-[a-z]+-use"
-# A file with none of these cannot hold a call. The last stands for the marker.
+# Fixed value: a comment naming keys carries this word.
+MARKER = "i18n-tasks-use"
+# A file with none of these, and without the marker, cannot hold a call.
 NEEDLES = ["t(", "t ", "t!", "translate", "I18n."]
 
 _STRING = r'''"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+\''''
@@ -33,9 +33,14 @@ _T_PARTS = rf"(?U)\A(?:I18n\.)?{_T_NAME}{_OPEN}({_T_ARG})(?:({_SCOPE_WORD})({_T_
 _R_LITERAL = rf":?(?:{_STRING})(?:\s*(?:\\\s*)?(?:{_STRING}))*+"
 _R_EXPR = r"(?!(?:if|unless|do|and|or|while|until|then|end|rescue|in|not)\b)[\w@$:][\w@$:.?!&]*"
 _R_ARG = rf"{_R_LITERAL}|:\w+[?!]?|{_R_EXPR}"
-_R_SCOPE = rf"{_PERCENT}|\[(?:[^\[\]\n]|\[[^\[\]\n]*\])*\]|{_R_LITERAL}|[^\n),]*"
-_R_CALL = rf"(?U)(?:(?<!\w::)I18n\.|(?<![\w.'-])(?<!def )(?<!def self\.)(?<![@$:]))(?:t|translate)!?{_OPEN}(?:{_R_ARG})(?:{_SCOPE_WORD}(?:{_R_SCOPE}))?"
-_R_PARTS = rf"(?U)\A(?:I18n\.)?(?:t|translate)!?{_OPEN}({_R_ARG})(?:({_SCOPE_WORD})({_R_SCOPE}))?"
+# What follows the argument: the rest of the statement, over line breaks that cannot end it.
+_R_MORE = r"(?=(\s*(?=,)(?:[,(\[{][ \t]*\n|\n(?=\s*[)\]},])|[^\n,(\[{]++|[,(\[{])*+)|)"
+_R_CALL = rf"(?U)(?:(?<!\w::)I18n\.|(?<![\w.'-])(?<!def )(?<!def self\.)(?<![@$:]))(?:t|translate)!?{_OPEN}(?:{_R_ARG})"
+_R_OPTIONS, _R_OPTIONS_GROUP = _R_CALL + _R_MORE, 1
+_R_PARTS = rf"(?U)\A(?:I18n\.)?(?:t|translate)!?{_OPEN}({_R_ARG})"
+_R_COMMENT_BLOCK = r"(?ms)^=begin\b.*?(?:^=end\b[^\n]*|\z)"
+_R_SCOPE_WORD = r"(?<![\w:]):scope\s*=>\s*|(?<![\w:])scope:(?!:)\s*"
+_R_TOKEN = rf"{_STRING}|{_R_SCOPE_WORD}|[()\[\]{{}},]|(?:(?!:scope|scope:)[^\"'()\[\]{{}},])++|[\s\S]"
 
 
 # --- files ---------------------------------------------------------------------------
@@ -147,6 +152,38 @@ def _located(pieces: Column, calls: Column) -> Column:
     return F.aggregate(measured, start, step, lambda s: s["out"])
 
 
+def _without_comment_blocks(content: Column) -> Column:
+    """Ruby text with its ``=begin`` blocks blanked."""
+    blocks = F.regexp_extract_all(content, F.lit(_R_COMMENT_BLOCK), F.lit(0))
+    woven = F.zip_with(F.split(content, _R_COMMENT_BLOCK, -1), blocks, lambda text, block: F.concat(text, F.coalesce(_blank(block), F.lit(""))))
+    return F.when(content.contains("=begin"), F.array_join(woven, "")).otherwise(content)
+
+
+def option_scope(options: Column) -> Column:
+    """The value of ``scope:`` (or ``:scope =>``) among the options of a call, wherever it stands; null without one.
+
+    Brackets are counted, to any depth: options end at a bracket that they did not open, and a value ends at a comma
+    outside brackets. An option of the same name inside another value does not count.
+    """
+    state = "struct<depth:int,mode:int,value:string>"
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("mode"), F.lit(None).cast("string").alias("value")).cast(state)
+
+    def step(s: Column, token: Column) -> Column:
+        opens, closes = token.isin("(", "[", "{"), token.isin(")", "]", "}")
+        top = s["depth"] == 0
+        over = (s["mode"] == 2) | (top & closes) | ((s["mode"] == 1) & top & (token == ","))
+        begins = (s["mode"] == 0) & top & token.rlike(rf"\A(?:{_R_SCOPE_WORD})\z")
+        return F.struct(
+            (s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).cast("int").alias("depth"),
+            F.when(over, 2).when(begins, 1).otherwise(s["mode"]).cast("int").alias("mode"),
+            F.when(~over & begins, "").when(~over & (s["mode"] == 1), F.concat(s["value"], token)).otherwise(s["value"]).alias("value"),
+        )
+
+    tokens = F.regexp_extract_all(options, F.lit(_R_TOKEN), F.lit(0))
+    value = F.aggregate(tokens, start, step, lambda s: s["value"])
+    return F.when(options.contains("scope"), F.trim(F.regexp_replace(value, r"\s+(?:do|if|unless|and|or)\b[\s\S]*\z", "")))
+
+
 def extract_calls(files: DataFrame) -> DataFrame:
     """One row per translation call of any file: project, path, scanner, pos, line_num, line_pos,
     line_head, receiver, arg, scope (null when the call has none).
@@ -155,31 +192,34 @@ def extract_calls(files: DataFrame) -> DataFrame:
     expression, so the search goes on one character after a rejected start.
     """
     kind = F.col("scanner")
-    text = F.when(kind == "erb", template_code("content")).otherwise(F.col("content"))
+    text = F.when(kind == "erb", template_code("content")).when(kind == "ruby", _without_comment_blocks(F.col("content"))).otherwise(F.col("content"))
     coded = files.withColumn("scanner", scanner_kind("path")).withColumn("content", text)
     template = kind == "template"
     pieces = F.when(template, F.split("content", _T_CALL, -1)).otherwise(F.split("content", _R_CALL, -1))
     calls = F.when(template, F.regexp_extract_all("content", F.lit(_T_CALL), F.lit(0))).otherwise(
         F.regexp_extract_all("content", F.lit(_R_CALL), F.lit(0))
     )
+    options = F.when(~template, F.regexp_extract_all("content", F.lit(_R_OPTIONS), F.lit(_R_OPTIONS_GROUP))).otherwise(F.array().cast("array<string>"))
+    located = F.arrays_zip(_located(F.col("pieces"), F.col("calls")).alias("at"), F.col("options").alias("options"))
     rows = (
-        coded.select("project", "path", "scanner", pieces.alias("pieces"), calls.alias("calls"))
+        coded.select("project", "path", "scanner", pieces.alias("pieces"), calls.alias("calls"), options.alias("options"))
         .where(F.size("calls") > 0)
-        .select("project", "path", "scanner", F.explode(_located(F.col("pieces"), F.col("calls"))).alias("c"))
-        .select("project", "path", "scanner", "c.*")
+        .select("project", "path", "scanner", F.explode(located).alias("c"))
+        .select("project", "path", "scanner", "c.at.*", "c.options")
     )
 
     def part(i: int) -> Column:
-        return F.when(template, F.regexp_extract("call", _T_PARTS, i)).otherwise(F.regexp_extract("call", _R_PARTS, i))
+        own = F.regexp_extract("call", _T_PARTS, i)
+        return F.when(template, own).otherwise(F.regexp_extract("call", _R_PARTS, i)) if i == 1 else own
 
     skip = F.when(F.col("call").startswith("I18n."), 5).otherwise(0)
     return (
         rows.withColumn("receiver", F.col("call").startswith("I18n."))
         .withColumn("arg", part(1))
-        .withColumn("scope", F.when(part(2) != "", part(3)))
+        .withColumn("scope", F.when(template, F.when(part(2) != "", part(3))).otherwise(option_scope(F.col("options"))))
         .withColumn("line_pos", F.octet_length("line_head") + skip)
         .withColumn("pos", F.col("pos") + skip)
-        .drop("call")
+        .drop("call", "options")
     )
 
 
@@ -214,12 +254,21 @@ def strip_literal(arg: Column) -> Column:
     )
 
 
-def interpolation_to_pattern(key: Column) -> Column:
-    """``#{...}`` -> ``*:``, up to four levels of braces inside."""
-    inner = r"[^{}]*"
-    for _ in range(4):
-        inner = rf"[^{{}}]*+(?:\{{{inner}\}}[^{{}}]*+)*+"
-    return F.regexp_replace(key, rf"#\{{{inner}\}}", "*:")
+def interpolation_to_pattern(key: Column, *, bare_braces: bool = False) -> Column:
+    """``#{...}`` -> ``*:``, braces counted to any depth. A brace outside of that hides what it holds, unless
+    ``bare_braces`` keeps such braces as text."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def step(s: Column, token: Column) -> Column:
+        top = s["depth"] == 0
+        opens = (token == "#{") | ((token == "{") & (~top if bare_braces else F.lit(True)))
+        closes = (token == "}") & ~top
+        shown = F.when(top & (token == "#{"), "*:").when(top & (F.lit(bare_braces) | ~token.isin("{", "}")), token).otherwise("")
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        return F.struct(depth.cast("int").alias("depth"), F.concat(s["out"], shown).alias("out"))
+
+    tokens = F.regexp_extract_all(key, F.lit(r"#\{|[{}]|[^#{}]++|#"), F.lit(0))
+    return F.when(key.rlike("[{}]"), F.aggregate(tokens, start, step, lambda s: s["out"])).otherwise(key)
 
 
 def valid_key(key: Column) -> Column:
@@ -271,9 +320,10 @@ def resolve_scope(calls: DataFrame) -> DataFrame:
 
 
 def _ruby_text(literal: Column) -> Column:
-    """One or several adjacent Ruby literals as text, interpolation as ``*:``."""
+    """One or several adjacent Ruby literals as text, interpolation as ``*:``; single quotes do not interpolate."""
     joined = F.regexp_replace(strip_literal(literal), r'''(?<!\\)["']\s*(?:\\\s*)?["']''', "")
-    return interpolation_to_pattern(F.regexp_replace(joined, r'\\(["\'])', "$1"))
+    text = F.regexp_replace(joined, r'\\(["\'])', "$1")
+    return F.when(literal.rlike(r"\A:?'"), text).otherwise(interpolation_to_pattern(text, bare_braces=True))
 
 
 _LITERAL_START = r'''\A:?["']|\A:\w'''
@@ -286,7 +336,7 @@ def keyword_scope(scope: Column) -> Column:
     words = F.filter(F.split(percent_body, r"\s+"), lambda w: w != "")
     array = scope.startswith("[")
     items = F.filter(
-        F.transform(F.split(F.when(array, F.translate(scope, "[]", "")).otherwise(scope), ","), lambda i: F.trim(i)),
+        F.transform(F.split(F.when(array, F.translate(scope, "[]", "")).otherwise(scope), ","), lambda i: F.regexp_replace(i, r"\A\s+|\s+\z", "")),
         lambda i: ~i.isin("", "nil"),
     )
     unusable = F.exists(items, lambda i: i.rlike(r"\A(?:[0-9{]|\w+: )")) | (F.trim(scope) == "")

@@ -5,7 +5,7 @@ import pytest
 from polyglint.operators import scan as S
 
 ROOTS = ["app/views", "app/controllers", "app/components"]
-MARK = "i18n-" + "lint" + "-use"
+MARK = S.MARKER
 
 
 def run(spark, sources):
@@ -176,3 +176,25 @@ def test_streaming_scan_equals_batch(spark, tmp_path):
     q.stop()
     assert spark.sql("select count(*) from scan_out where kind = 'key'").first()[0] == 20
     assert spark.sql("select count(*) from scan_out where kind = 'pattern'").first()[0] == 20
+
+
+def test_ruby_scope_anywhere_and_any_depth(spark):
+    nested = "[:b, " * 12 + ":c" + "]" * 12
+    deep = "#{" + "{" * 9 + "x" + "}" * 10
+    calls = [
+        ("t('key', count: 1, scope: :x)", "x.key"),
+        ("t('key', default: 'd, scope: :no', scope: [:a, :b])", "a.b.key"),
+        ("t('key', count: n(scope: :inner, at: [1, 2]), :scope => 'out')", "out.key"),
+        (f"t(:a, scope: {nested})", "b." * 12 + "c.a"),
+        ("t 'k', scope: :x if scope?", "x.k"),
+        ("t(\n  'multi',\n  count: 2,\n  scope: [\n    :p,\n    :q\n  ]\n)", "p.q.multi"),
+        ("t('key') + f(scope: :other)", "key"),
+        ("t('single.#{x}.k')", "single.#{x}.k"),
+        (f't("a.{deep}.z")', "a.*:.z"),
+    ]
+    files = [(f"lib/f{i}.rb", text + "\n") for i, (text, _) in enumerate(calls)] + [("lib/block.rb", "=begin\nt('dead')\n=end\nt('live')\n")]
+    rows = S.scan(spark.createDataFrame([("p", p, c) for p, c in files], "project string, path string, content string"), ROOTS).collect()
+    got = {r.path: r.key for r in rows}
+    assert got == {f"lib/f{i}.rb": key for i, (_, key) in enumerate(calls)} | {"lib/block.rb": "live"}
+    template = spark.createDataFrame([("p", "a.slim", f'= t("k.{deep}.z")\n')], "project string, path string, content string")
+    assert [(r.kind, r.key) for r in S.scan(template, ROOTS).collect()] == [("pattern", "k.*:.z")]

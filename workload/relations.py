@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polyglint.operators.scan import MARKER
+
 LOCALES = [("en", 0, 7), ("de", 1, 11), ("fr", 2, 13), ("ja", 3, 17), ("ru", 4, 19)]
 PROJECTS = ["high", "low", "medium", "not specified", "urgent"]
 ROOTS = ["app/views", "app/controllers", "app/components"]
-MARK = "i18n-" + "lint" + "-use"
+MARK = MARKER
 
 
 _TABLES: dict[tuple[str, str, str], DataFrame] = {}
