@@ -18,6 +18,8 @@ _SPARE_GROUPS = "()" * 9
 # Only literals and plain stars: each middle literal can be taken at its first hit.
 _PLAIN_GLOB = r"\A[^:{]*\*[^:{]*\*[^:{]*\z"
 
+#: Copies of the patterns: a project's or segment's keys spread over so many tasks. Raise it with the cluster; each copy
+#: is as long as the configuration.
 SALT = 16
 
 

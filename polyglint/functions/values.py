@@ -135,13 +135,15 @@ def number_value(text) -> Column:
         F.lit(0).cast("decimal(38,0)"),
         lambda acc, d: (acc * radix + d).try_cast("decimal(38,0)"),
     )
-    exact = F.when(radix == 10, body.try_cast("decimal(38,0)")).otherwise(in_radix)
+    # In doubles beside it: numbers of any length, and the exact sum is made only where it cannot overflow.
+    rounded = F.aggregate(digit_values, F.lit(0.0), lambda acc, d: acc * radix + d.cast("double"))
+    exact = F.when(radix == 10, body.try_cast("decimal(38,0)")).when(rounded < 1e30, in_radix)
     signed = F.when(negative, -exact).otherwise(exact)
     fits = (signed >= F.lit("-9223372036854775808").cast("decimal(38,0)")) & (
         signed <= F.lit("18446744073709551615").cast("decimal(38,0)")
     )
-    as_float = F.when(radix == 10, body.try_cast("double")).otherwise(exact.try_cast("double"))
-    integer_json = F.when(fits, signed.cast("string")).otherwise(
+    as_float = F.when(radix == 10, body.try_cast("double")).otherwise(rounded)
+    integer_json = F.when(F.coalesce(fits, F.lit(False)), signed.cast("string")).otherwise(
         _float_text(F.when(negative, -as_float).otherwise(as_float))
     )
     return (

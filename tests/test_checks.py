@@ -120,3 +120,41 @@ def test_anchor_counts(spark, sf_dir):
     assert count(H.missing_plural(tr, C.plural_dim(spark), None, loc)) == {"ru": 142}
     assert count(H.eq_base(tr, None, loc)) == {"de": 392, "fr": 469, "ja": 489, "ru": 487}
     assert count(H.reserved_placeholders(tr, loc)) == {"en": 27, "de": 130, "fr": 24, "ja": 22, "ru": 20}
+
+
+def test_written_documents_read_back_as_canonical(spark, tmp_path):
+    from polyglint.operators import documents as D
+    from polyglint.sources import sinks
+
+    rows = [("p", "no", f"h{i % 7}.k{i}", "str", "x\ny" if i % 5 == 0 else "v", f"config/{'a~b' if i % 2 else 'a/b'}.yml") for i in range(300)]
+    tr = spark.createDataFrame(rows, "project string, locale string, key string, value_type string, value string, path string").withColumn("segments", F.split("key", r"\."))
+    sinks.document_sink(tr, str(tmp_path / "out"))
+    written = {r.path: r.doc for r in sinks.read_documents(spark, str(tmp_path / "out")).collect()}
+    assert written == {r.path: r.doc for r in D.canonical_documents(tr).collect()}
+    assert all(doc.startswith("---\n'no':\n") for doc in written.values()) and len(written) == 2
+
+
+def test_routes_are_refused(spark):
+    from polyglint.operators import routing as T
+
+    one = "project string, locale string, key string, destination string"
+    with pytest.raises(ValueError, match="no write rule"):
+        T.check_routes(spark.createDataFrame([("p", "de", "a.b", None)], one))
+    with pytest.raises(ValueError, match="would hold de, en"):
+        T.check_routes(spark.createDataFrame([("p", "de", "a", "x.yml"), ("p", "en", "a", "x.yml")], one))
+    plan = spark.createDataFrame([("p", "x.yml", "de")], "project string, path string, locale string")
+    with pytest.raises(ValueError, match="also holds fr"):
+        T.check_foreign(plan, spark.createDataFrame([("p", "de", "x.yml"), ("p", "fr", "x.yml")], "project string, locale string, path string"))
+
+
+def test_numbers_of_any_length_and_sequences_that_do_not_parse(spark):
+    from polyglint.functions import values as V
+    from polyglint.operators import checks as H
+
+    texts = ["0x" + "f" * 40, "0b" + "1" * 200, "0xff", "-0x10"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(V.number_value("t")).collect()]
+    assert got[2:] == ["255", "-16"] and float(got[0]) == float(16**40) and float(got[1]) == float(2**200)
+    pairs = [('[{"a":1,"a":2}]', '[{"a":3,"a":4}]', False), ("[1.0]", "[1]", False), ('[{"a":1,"b":2}]', '[{"b":2,"a":1}]', True)]
+    rows = spark.createDataFrame([("seq", a, b) for a, b, _ in pairs], "value_type string, a string, b string")
+    same = rows.select(H._comparable("value_type", "a").eqNullSafe(H._comparable("value_type", "b")).alias("same")).collect()
+    assert [r.same for r in same] == [x for _, _, x in pairs]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from polyglint.functions import keys as K
@@ -14,6 +17,7 @@ from polyglint.operators import profile as L
 from polyglint.operators import routing as T
 from polyglint.plans import audit
 from polyglint.sources import files as S
+from polyglint.sources import sinks
 from workload import relations as W
 from workload.registry import query
 
@@ -183,10 +187,13 @@ def canonical_documents(spark, sf):
     return D.canonical_documents(W.translation(spark, sf)).select("project", "path", "locale", F.sha2("doc", 256).alias("digest"), "n_keys")
 
 
-@query("S8_document_sink", f"SELECT project, path, locale, length(doc) - length('---' || chr(10) || locale || ':' || chr(10)) AS chars, n_keys FROM {_doc_sql('x_translation')}")
-def document_parts(spark, sf):
-    parts = D.document_parts(W.translation(spark, sf))
-    return parts.groupBy("project", "path", "locale").agg(F.sum(F.length("text")).alias("chars"), F.sum("n_keys").alias("n_keys"))
+@query("S8_document_sink", f"SELECT project, path, sha256(doc) AS digest FROM {_doc_sql('x_translation')}")
+def document_sink(spark, sf):
+    """Written, read back, and compared by the digest of each document."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    target = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    sinks.document_sink(W.translation(spark, sf), target)
+    return sinks.read_documents(spark, target).select("project", "path", F.sha2("doc", 256).alias("digest"))
 
 
 # --- routing -------------------------------------------------------------------------

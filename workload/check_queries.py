@@ -259,7 +259,9 @@ def category_difference(spark, sf):
     return H.missing_plural(tr, C.plural_dim(spark), None, loc).groupBy("project", "locale", "categories").agg(F.count("*").alias("n"))
 
 
-@query("U5_placeholder_set_equal", f"SELECT e.project, e.locale, e.key, ({_vars('e.value')} = {_vars('e.base_value')})::VARCHAR AS same FROM {_BESIDE} e")
+@query("U5_placeholder_set_equal", f"""SELECT o.project, o.locale, o.key, (o.v = b.v)::VARCHAR AS same
+    FROM (SELECT project, locale, key, {_vars('value')} AS v FROM x_translation WHERE locale_rank > 0) o
+    JOIN (SELECT project, key, {_vars('value')} AS v FROM x_translation WHERE locale_rank = 0) b ON o.project = b.project AND o.key = b.key""")
 def placeholder_set_equal(spark, sf):
     beside = H._beside_base(W.own_catalog(spark, sf), W.locale_dim(spark, sf))
     sets = beside.withColumn("own", V.placeholder_set("value")).withColumn("base", V.placeholder_set("base_value"))
@@ -358,13 +360,13 @@ def ancestors(spark, sf):
 
 
 @query("F8_pattern_match", r"""SELECT t.project, t.key, r.rule_id, regexp_extract(t.key, r.re, 0) = t.key AS hit FROM (SELECT DISTINCT project, key FROM x_translation) t JOIN
-    (SELECT DISTINCT project, rule_id, re FROM x_rule WHERE priority IN (7, 12, 17)) r ON r.project = t.project WHERE regexp_full_match(t.key, r.re)""")
+    (SELECT DISTINCT project, rule_id, re FROM x_rule) r ON r.project = t.project WHERE regexp_full_match(t.key, r.re)""")
 def pattern_match(spark, sf):
     from polyglint.functions import patterns as M
 
     keys = W.translation(spark, sf).select("project", "key").distinct()
-    r = W.rules(spark, sf).where("priority in (7, 12, 17)").select("project", "rule_id", "pattern").distinct()
-    return keys.join(r, "project").where(M.pattern_match("key", "pattern")).select("project", "key", "rule_id", F.lit(True).alias("hit"))
+    r = W.rules(spark, sf).select(F.col("project").alias("p_project"), "rule_id", F.col("pattern").alias("p_pattern"), F.lit(None).cast("string").alias("p_group")).distinct()
+    return M.matching_pairs(keys, r).select("project", "key", "rule_id", F.lit(True).alias("hit")).distinct()
 
 
 @query("F9_placeholders", r"SELECT project, locale, key, array_to_string(regexp_extract_all(regexp_replace(value, '%%+\{', '{', 'g'), '%\{[^}]+\}'), ' ') AS found FROM x_translation")

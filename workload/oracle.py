@@ -30,7 +30,7 @@ _CTES = {
           (SELECT project, locale, key FROM x_translation UNION ALL SELECT project, locale, key FROM x_external)))""",
     "x_dep": r"""SELECT *, CASE WHEN id % 10 = 3 THEN regexp_replace(key, '\.[a-z]+$', '') ELSE key END AS dep_key FROM x_translation""",
     "x_call": """SELECT k.project, 'app/views/s' || l_suppkey::VARCHAR || '/p' || (l_partkey % 50)::VARCHAR || '.html.slim' AS path,
-        (l_orderkey * 8 + l_linenumber)::INT AS pos, (l_orderkey + 1)::INT AS line_num, l_linenumber::INT AS line_pos,
+        (l_orderkey * 8 + l_linenumber)::BIGINT AS pos, (l_orderkey + 1)::BIGINT AS line_num, l_linenumber::INT AS line_pos,
         CASE WHEN l_partkey % 29 = 0 THEN 'unknown.k' || l_partkey::VARCHAR ELSE k.k END AS key,
         CASE WHEN l_partkey % 29 = 0 AND l_returnflag = 'A' THEN k.k END AS second_key
       FROM lineitem JOIN x_key k ON l_orderkey = k.id""",
@@ -41,7 +41,9 @@ _CTES = {
         'ns' || p_size::VARCHAR || '.' || CASE WHEN p_partkey % 2 = 0 THEN 'o' ELSE 'p' END || '.k*7' AS pattern
       FROM part, x_project WHERE p_size <= 3""",
     "x_opaque": """SELECT project, 'app/services/s' || s_suppkey::VARCHAR || '.rb' AS path, (s_suppkey + 1)::INT AS pos
-      FROM supplier, x_project WHERE s_acctbal < 0""",
+      FROM supplier, x_project
+      UNION ALL SELECT project, 'app/models/nation.rb', n_nationkey + 1 FROM nation, x_project WHERE n_regionkey <> 0
+      UNION ALL SELECT project, 'app/models/part.rb', (p_partkey + 1)::INT FROM part, x_project WHERE p_size > 3""",
     "x_config": """SELECT project, n_nationkey * 5 + pi AS rule_id,
         ['ignore', 'ignore_missing', 'ignore_unused', 'ignore_eq_base', 'ignore_inconsistent_interpolations'][n_nationkey % 5 + 1] AS setting,
         CASE WHEN n_nationkey < 5 THEN 'ns' || n_nationkey || '.*' WHEN n_nationkey < 10 THEN 'ns' || n_nationkey || '.{o, f}.*'

@@ -23,30 +23,13 @@ _TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table. The plan is kept per session, so a query that uses a table several times
-    reads its schema once.
-
-    A table stored as fewer splits than there are cores (one small file, as in the samples)
-    is spread by its key first, or all narrow work on it would run on one core. A large
-    table has splits enough and is taken as it is.
-    """
+    reads its schema once."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _TABLES:
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        cores = spark.sparkContext.defaultParallelism
-        if name in _SPREAD_BY and df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores, _SPREAD_BY[name])
-        _TABLES[key] = df
+        _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return _TABLES[key]
 
 
-_SPREAD_BY = {"orders": "o_orderkey", "lineitem": "l_orderkey", "documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "events": "event_id"}
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rendered files over all cores: adaptive execution would join a few small ones into one task."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, "project", "path")
-
-
 def _structs(**columns) -> Column:
     n = len(next(iter(columns.values())))
     return F.array(*[F.struct(*[F.lit(v[i]).alias(k) for k, v in columns.items()]) for i in range(n)])
@@ -148,16 +131,16 @@ def own_catalog(spark, sf_dir) -> DataFrame:
 
 
 def occurrences(spark, sf_dir) -> DataFrame:
-    """Usage rows: keys from line items, whole sections from nations, patterns from small parts,
-    opaque calls from indebted suppliers."""
+    """Usage rows: keys from line items; whole sections from the nations of one region, patterns from
+    small parts; opaque calls from all other nations and parts, and from suppliers."""
     k = keys(spark, sf_dir).select("id", "project", "k")
     unknown = F.col("l_partkey") % 29 == 0
     key = F.when(unknown, text("unknown.k", s("l_partkey"))).otherwise(F.col("k"))
     calls = table(spark, sf_dir, "lineitem").join(k, F.col("l_orderkey") == F.col("id")).select(
         "project",
         text("app/views/s", s("l_suppkey"), "/p", s(F.col("l_partkey") % 50), ".html.slim").alias("path"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("int").alias("pos"),
-        (F.col("l_orderkey") + 1).cast("int").alias("line_num"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("pos"),
+        (F.col("l_orderkey") + 1).cast("bigint").alias("line_num"),
         F.col("l_linenumber").cast("int").alias("line_pos"),
         key.alias("key"),
         key.alias("raw_key"),
@@ -166,19 +149,23 @@ def occurrences(spark, sf_dir) -> DataFrame:
     )
 
     def other(df, path, n, key, kind) -> DataFrame:
+        listed = F.when(kind == "opaque", F.array().cast("array<string>")).otherwise(F.array(key))
         return df.select(
-            every_project().alias("project"), path.alias("path"), n.cast("int").alias("pos"), n.cast("int").alias("line_num"), F.lit(0).alias("line_pos"),
-            key.alias("key"), key.alias("raw_key"), (F.array(key) if kind != "opaque" else F.array().cast("array<string>")).alias("candidate_keys"), F.lit(kind).alias("kind"),
+            every_project().alias("project"), path.alias("path"), n.cast("bigint").alias("pos"), n.cast("bigint").alias("line_num"), F.lit(0).alias("line_pos"),
+            key.alias("key"), key.alias("raw_key"), listed.alias("candidate_keys"), kind.alias("kind"),
         )
 
-    nation = table(spark, sf_dir, "nation").where("n_regionkey = 0")
-    part = table(spark, sf_dir, "part").where("p_size <= 3")
-    supplier = table(spark, sf_dir, "supplier").where("s_acctbal < 0")
-    pattern = text("ns", s(F.col("p_size")), ".", F.when(F.col("p_partkey") % 2 == 0, "o").otherwise("p"), ".k*7")
+    def chosen(kind, when, key) -> tuple[Column, Column]:
+        return F.when(when, key), F.when(when, kind).otherwise("opaque")
+
+    section = chosen("key", F.col("n_regionkey") == 0, text("ns", s("n_nationkey"), ".p"))
+    wild = text("ns", s(F.col("p_size")), ".", F.when(F.col("p_partkey") % 2 == 0, "o").otherwise("p"), ".k*7")
+    pattern = chosen("pattern", F.col("p_size") <= 3, wild)
+    opaque = F.lit(None).cast("string"), F.lit("opaque")
     return (
-        calls.unionByName(other(nation, F.lit("app/models/nation.rb"), F.col("n_nationkey") + 1, text("ns", s("n_nationkey"), ".p"), "key"))
-        .unionByName(other(part, F.lit("app/models/part.rb"), F.col("p_partkey") + 1, pattern, "pattern"))
-        .unionByName(other(supplier, text("app/services/s", s("s_suppkey"), ".rb"), F.col("s_suppkey") + 1, F.lit(None).cast("string"), "opaque"))
+        calls.unionByName(other(table(spark, sf_dir, "nation"), F.lit("app/models/nation.rb"), F.col("n_nationkey") + 1, *section))
+        .unionByName(other(table(spark, sf_dir, "part"), F.lit("app/models/part.rb"), F.col("p_partkey") + 1, *pattern))
+        .unionByName(other(table(spark, sf_dir, "supplier"), text("app/services/s", s("s_suppkey"), ".rb"), F.col("s_suppkey") + 1, *opaque))
     )
 
 
@@ -252,7 +239,7 @@ def template_lines(spark, sf_dir) -> DataFrame:
 
 def template_files(spark, sf_dir) -> DataFrame:
     """The template lines of each path as a file."""
-    return spread(_lines_to_files(template_lines(spark, sf_dir), ["pos"]))
+    return _lines_to_files(template_lines(spark, sf_dir), ["pos"])
 
 
 def tag_files(spark, sf_dir) -> DataFrame:
@@ -263,9 +250,9 @@ def tag_files(spark, sf_dir) -> DataFrame:
         "<% x = t \"part.", F.col("p_name"), "\" %> t('outside')\n", "<%= t(\"part.#{x}.k", k, "\") %> <%= t(value) %>\n",
         f"<% # {MARK} t('part.next", k, "') %>\n", "<%= t(covered) %>",
     )
-    return spread(table(spark, sf_dir, "part").select(
+    return table(spark, sf_dir, "part").select(
         F.lit("high").alias("project"), text("app/views/parts/b", s("p_size"), "/_p", k, ".html.erb").alias("path"), content.alias("content")
-    ))
+    )
 
 
 def ruby_files(spark, sf_dir) -> DataFrame:
@@ -276,7 +263,7 @@ def ruby_files(spark, sf_dir) -> DataFrame:
         "')\n      end\n    end\n\n    def show = t('.short')\n\n    private\n\n    def helper\n      t('.hidden')\n      t(\"dyn.#{x}.k", k,
         "\")\n      t(:m, scope: [:shop, KIND])\n      t(value)\n    end\n  end\nend\n",
     )
-    return spread(keys(spark, sf_dir).select("project", text("app/controllers/admin/o", k, "_controller.rb").alias("path"), content.alias("content")))
+    return keys(spark, sf_dir).select("project", text("app/controllers/admin/o", k, "_controller.rb").alias("path"), content.alias("content"))
 
 
 def prose_files(spark, sf_dir) -> DataFrame:
