@@ -90,7 +90,8 @@ def prefix_length(n):
 
 
 def _incidence(docs: DataFrame, order: Order) -> DataFrame:
-    """Rows of the incidence that can begin a link: (gram, doc_id, n, common) for the rarest n-grams of each document."""
+    """Rows of the incidence that can begin a link: (gram, doc_id, n, place, common) for the rarest n-grams of each
+    document, with their place in its order."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,17 +102,23 @@ def _incidence(docs: DataFrame, order: Order) -> DataFrame:
             rows, levels = np.repeat(np.arange(len(sets)), sizes), shared.value.level(grams)
             ranked = np.lexsort((grams, levels, rows))
             place = np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = ranked[place < prefix_length(sizes)[rows]]
-            arrays = [pa.array(grams[keep].view(np.int64)), ids.take(pa.array(rows[keep])), pa.array(sizes[rows[keep]]), pa.array(levels[keep] > 0)]
-            yield pa.RecordBatch.from_arrays(arrays, ["gram", "doc_id", "n", "common"])
+            early = place < prefix_length(sizes)[rows]
+            keep = ranked[early]
+            arrays = [pa.array(grams[keep].view(np.int64)), ids.take(pa.array(rows[keep])), pa.array(sizes[rows[keep]]), pa.array(place[early].astype(np.int32)), pa.array(levels[keep] > 0)]
+            yield pa.RecordBatch.from_arrays(arrays, ["gram", "doc_id", "n", "place", "common"])
 
-    return docs.mapInArrow(run, "gram long, doc_id long, n long, common boolean")
+    return docs.mapInArrow(run, "gram long, doc_id long, n long, place int, common boolean")
 
 
 def _fits(n_a: Column, n_b: Column) -> Column:
     return 4 * F.least(n_a, n_b) >= 3 * F.greatest(n_a, n_b)
 
 
+def _early(place: Column, n: Column, other: Column) -> Column:
+    """Whether a place is among the first of which, for two sets of these sizes, one at least is shared."""
+    return place <= n - F.floor((3 * (n + other) + 6) / 7)
+
+
 def _possible(overlap: Column, n_a: Column, n_b: Column) -> Column:
     """The overlap so far and all that may follow behind the prefixes can reach the bound 3/7 (n_a + n_b)."""
     rest = F.greatest(n_a - _prefix_column(n_a), n_b - _prefix_column(n_b))
@@ -145,9 +152,10 @@ def similar_components(docs: DataFrame) -> DataFrame:
     3. Each column is multiplied with its first document only: overlap counts of (document, first document) are added
        over all blocks, and pairs that cannot reach the bound of their sizes are discarded. Each document's best pair is
        compared exactly; components follow.
-    4. Columns whose documents are in different components yet are multiplied in full, across components only, and what
-       passes the same bounds is compared exactly. Near copies are together by then, so a large group costs a pair per
-       document and not their square.
+    4. Columns whose documents are in different components yet are multiplied in full, across components only, where the
+       n-gram is early enough in both orders for the two sizes; what comes of it is compared exactly. Near copies are
+       together by then, and those that are not have n-grams of their own that come first, so a large group does not
+       cost its square.
 
     Common n-grams are aggregated on the map side and met by broadcast (at most COMMON columns); all other columns have
     less than 1 / COMMON of the sample's rows.
@@ -175,12 +183,13 @@ def similar_components(docs: DataFrame) -> DataFrame:
     found = saved(components(links))
 
     labelled = rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    labelled = saved(labelled.select("gram", "doc_id", "n", "component"))
+    labelled = saved(labelled.select("gram", "doc_id", "n", "place", "component"))
     mixed_columns = labelled.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
     left = saved(labelled.join(saved(mixed_columns), "gram"))
-    other = left.select("gram", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
-    across = left.join(other, "gram").where("component < of_b").where(_fits(F.col("n"), F.col("n_b")))
-    more = _verified(known, _counted_pairs(across.select("doc_id", "n", "b", "n_b")).join(best, ["a", "b"], "left_anti"))
+    other = left.select("gram", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("component").alias("of_b"))
+    n, n_b = F.col("n"), F.col("n_b")
+    across = left.join(other, "gram").where("component < of_b").where(_fits(n, n_b) & _early(F.col("place"), n, n_b) & _early(F.col("place_b"), n_b, n))
+    more = _verified(known, across.select(F.col("doc_id").alias("a"), "b").distinct().join(best, ["a", "b"], "left_anti"))
     every = links.unionByName(more).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("keep").alias("b")))
     final = components(every)
     named = measured.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
