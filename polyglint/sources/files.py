@@ -23,9 +23,11 @@ def source_files(
 ) -> DataFrame:
     """(project, path, content): whole text of every admitted file under the search paths.
 
-    Files outside the globs are dropped by path before their bytes are read into text.
+    Search paths inside others are left out, so no file is read twice and contents are never shuffled. Bytes that are
+    not UTF-8 become replacement characters.
     """
     base = root.rstrip("/")
+    paths = [p for i, p in enumerate(paths) if not any(_covers(q, p) and (q.strip("./") != p.strip("./") or j < i) for j, q in enumerate(paths))]
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -33,7 +35,13 @@ def source_files(
     )
     rel = F.regexp_replace(F.col("path"), "(?s)\\A(?:file:/*)?/?\\Q" + base.lstrip("/") + "\\E/", "")
     named = raw.select(F.lit(project).alias("project"), rel.alias("path"), "content")
-    return glob_filter(named, only, exclude).select("project", "path", F.decode("content", "UTF-8").alias("content")).dropDuplicates(["project", "path"])
+    return glob_filter(named, only, exclude).select("project", "path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+
+
+def _covers(outer: str, inner: str) -> bool:
+    """Whether one search path lies in another, or is it."""
+    outer, inner = outer.strip("./"), inner.strip("./")
+    return not outer or inner == outer or inner.startswith(outer + "/")
 
 
 def catalog_files(files: DataFrame, read: DataFrame, locales: DataFrame) -> DataFrame:

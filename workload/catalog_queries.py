@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from polyglint.functions import keys as K
@@ -93,18 +94,20 @@ def plural_nodes(spark, sf):
     return C.plural_nodes(W.own_catalog(spark, sf)).withColumn("forms", F.array_join(F.array_sort("forms"), " "))
 
 
+def _places(ordered):
+    """Where each row stands in its project and locale, by the order the operator gave: rows are numbered as they come."""
+    came = ordered.select("project", "locale", "key", F.monotonically_increasing_id().alias("at"))
+    return came.select("project", "locale", "key", F.row_number().over(Window.partitionBy("project", "locale").orderBy("at")).alias("n"))
+
+
 @query("O_1_sorted_keys", "SELECT project, locale, key, row_number() OVER (PARTITION BY project, locale ORDER BY key) AS n FROM x_translation")
 def sorted_keys(spark, sf):
-    from pyspark.sql import Window
-
-    return C.sorted_keys(W.own_catalog(spark, sf)).select("project", "locale", "key", F.row_number().over(Window.partitionBy("project", "locale").orderBy("key")).alias("n"))
+    return _places(C.sorted_keys(W.own_catalog(spark, sf)))
 
 
 @query("O_2_canonical_order", "SELECT project, locale, key, row_number() OVER (PARTITION BY project, locale ORDER BY string_split(key, '.')) AS n FROM x_translation")
 def canonical_order(spark, sf):
-    from pyspark.sql import Window
-
-    return C.canonical_order(W.own_catalog(spark, sf)).select("project", "locale", "key", F.row_number().over(Window.partitionBy("project", "locale").orderBy("segments")).alias("n"))
+    return _places(C.canonical_order(W.own_catalog(spark, sf)))
 
 
 @query("O_3_keep_order", f"SELECT project, locale, key, path AS origin_path, ordinal, 'config/locales/zz_override.' || locale || '.yml' AS path FROM {_PER_FILE}")
@@ -288,10 +291,19 @@ def removal_plan(spark, sf):
 # --- files and layout ----------------------------------------------------------------
 
 
-@query("S1_source_files", "SELECT 'tables' AS project, t || '.parquet' AS path FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'), ('documents'), ('embeddings'), ('pages'), ('benchmark'), ('labels'), ('conversations')) AS v(t)")
+@query("S1_source_files", """SELECT 'suppliers' AS project, 'dir=s' || s_suppkey AS dir, s_name || CASE WHEN s_suppkey % 3 = 0 THEN chr(65533) ELSE '' END || chr(10) AS content
+    FROM supplier WHERE s_suppkey % 5 <> 0""")
 def source_files(spark, sf):
-    """The listing part over the folder of the tables themselves; contents are pruned away."""
-    return S.source_files(spark, sf, ["./"], "tables", only=["*.parquet"]).select("project", "path")
+    """One file per supplier, a third of them not UTF-8, written and read back; a fifth are excluded by a glob."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    target = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    n = F.col("s_suppkey")
+    odd = F.when(n % 3 == 0, F.unhex(F.lit("FF")).cast("string")).otherwise("")
+    place = F.concat(F.when(n % 5 == 0, "skip").otherwise("s"), n.cast("string"))
+    files = W.table(spark, sf, "supplier").select(place.alias("dir"), F.concat("s_name", odd).alias("text"))
+    files.write.partitionBy("dir").text(target)
+    found = S.source_files(spark, target.removeprefix("file://"), ["./", "dir=s1"], "suppliers", exclude=["dir=skip*"])
+    return found.select("project", F.substring_index("path", "/", 1).alias("dir"), "content")
 
 
 @query("S2_glob_filter", "SELECT project, path FROM x_tree WHERE o_orderkey % 8 IN (0, 5)")

@@ -250,7 +250,7 @@ def tag_files(spark, sf_dir) -> DataFrame:
         "<% x = t \"part.", F.col("p_name"), "\" %> t('outside')\n", "<%= t(\"part.#{x}.k", k, "\") %> <%= t(value) %>\n",
         f"<% # {MARK} t('part.next", k, "') %>\n", "<%= t(covered) %>",
     )
-    return table(spark, sf_dir, "part").select(
+    return table(spark, sf_dir, "part").repartition("p_partkey").select(
         F.lit("high").alias("project"), text("app/views/parts/b", s("p_size"), "/_p", k, ".html.erb").alias("path"), content.alias("content")
     )
 
@@ -263,7 +263,8 @@ def ruby_files(spark, sf_dir) -> DataFrame:
         "')\n      end\n    end\n\n    def show = t('.short')\n\n    private\n\n    def helper\n      t('.hidden')\n      t(\"dyn.#{x}.k", k,
         "\")\n      t(:m, scope: [:shop, KIND])\n      t(value)\n    end\n  end\nend\n",
     )
-    return keys(spark, sf_dir).select("project", text("app/controllers/admin/o", k, "_controller.rb").alias("path"), content.alias("content"))
+    # key rows are dealt out, not the texts made of them; adaptive execution picks the number of tasks
+    return keys(spark, sf_dir).repartition("id").select("project", text("app/controllers/admin/o", k, "_controller.rb").alias("path"), content.alias("content"))
 
 
 def prose_files(spark, sf_dir) -> DataFrame:
