@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from polyglint.llm import crf, labelled
 from polyglint.llm.scoring import scored
-from polyglint.llm.words import mixed, words_of
+from polyglint.llm.words import chunks, mixed, words_of
 
 THRESHOLD = 0.7
 _KINDS = ("upper", "lower", "digit", "blank", "stop", "mark", "wide")
@@ -110,7 +110,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         part = 30.0 if not len(good) or good.min() else -30.0
         width = _features(pa.array([""]))[0].shape[1]
         return Model(np.zeros(width), np.ones(width), np.zeros(width + 1), crf.Transitions(1, 1, 1, 1), np.array([0, 0, part]))
-    x, first, length = _features(rows.column("text").combine_chunks())
+    parts = [_features(batch.column("text")) for batch in chunks(rows.to_batches(), "text")]
+    x, length = (np.concatenate([part[i] for part in parts]) for i in (0, 2))
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(part[1]) for part in parts]))])
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     x = (x - centre) / scale
     tags = np.repeat(good, np.diff(first))

@@ -47,9 +47,19 @@ def _features(words: Words) -> list[np.ndarray]:
     return [(f & mask).astype(np.int64) for f in [*own, before, after]]
 
 
-def _token_labels(words: Words, features: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+def _sampled(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features of all words of the sample, made a chunk at a time, and the first word of each row."""
+    parts, first = [], [np.zeros(1, np.int64)]
+    for batch in chunks(rows.to_batches(), "text"):
+        words = words_of(batch.column("text"), lower=True)
+        parts.append([f.astype(np.int32) for f in _features(words)])
+        first.append(first[-1][-1] + words.first[1:])
+    return [np.concatenate(f) for f in zip(*parts, strict=True)], np.concatenate(first)
+
+
+def _token_labels(first: np.ndarray, features: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Words of toxic documents that mark them: by how often their features stand in toxic and other documents."""
-    rows = words.row_of_word()
+    rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
     n1, n0 = max(1, toxic.sum()), max(1, (1 - toxic).sum())
     best = np.full(len(rows), -np.inf)
     for buckets in features[: 1 + len(PREFIXES)]:
@@ -86,9 +96,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     size = 1 << FEATURE_BITS
     if not len(toxic) or toxic.min() == toxic.max():
         return Model(np.zeros(size), -30.0, crf.Transitions(1, 1, 1, 1), np.array([0.0, 0.0, 0.0, -30.0]))
-    words = words_of(rows.column("text").combine_chunks(), lower=True)
-    features = _features(words)
-    tags = _token_labels(words, features, toxic)
+    features, first = _sampled(rows)
+    tags = _token_labels(first, features, toxic)
 
     def scores(w):
         return sum(w[f] for f in features) + w[-1]
@@ -96,9 +105,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     def gradient(residual):
         return np.append(sum(np.bincount(f, residual, minlength=size) for f in features), residual.sum())
 
-    weights, transitions = crf.fit(scores, gradient, size + 1, tags, words.first, rounds=30, pull=5.0)
-    p = crf.marginals(scores(weights), words.first, transitions)
-    calibration = crf.logistic(_document_features(p, words.first), toxic)
+    weights, transitions = crf.fit(scores, gradient, size + 1, tags, first, rounds=30, pull=5.0)
+    p = crf.marginals(scores(weights), first, transitions)
+    calibration = crf.logistic(_document_features(p, first), toxic)
     return Model(weights[:-1].astype(np.float32), float(weights[-1]), transitions, calibration)
 
 
