@@ -172,16 +172,20 @@ def category_difference(required, given):
     return F.array_except(required, given)
 
 
-def missing(occ, tr, dim, rules, locales, types: list[str] | None = None) -> DataFrame:
-    """The requested kinds of missing keys, in the requested order (``type_rank``)."""
+def missing(occ, tr, dim, rules, locales, types: list[str] | None = None, selected: DataFrame | None = None) -> DataFrame:
+    """The requested kinds of missing keys, in the requested order (``type_rank``).
+
+    ``selected``: the rows of ``locales`` to report on, all by default. Base is compared with all locales either way.
+    """
+    asked = locales if selected is None else selected
     types = MISSING_TYPES if types is None else types
     unknown = [t for t in types if t not in MISSING_TYPES]
     if unknown:
         raise ValueError(f"unknown missing types {unknown}")
     make = {
-        "used": lambda: missing_used(occ, tr, rules, locales),
-        "diff": lambda: missing_diff(tr, rules, locales),
-        "plural": lambda: missing_plural(tr, dim, rules, locales),
+        "used": lambda: missing_used(occ, tr, rules, asked),
+        "diff": lambda: missing_diff(tr, rules, locales, asked),
+        "plural": lambda: missing_plural(tr, dim, rules, asked),
     }
     parts = [make[t]().withColumn("type_rank", F.lit(i)) for i, t in enumerate(types)]
     out = parts[0]

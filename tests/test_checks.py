@@ -158,3 +158,9 @@ def test_numbers_of_any_length_and_sequences_that_do_not_parse(spark):
     rows = spark.createDataFrame([("seq", a, b) for a, b, _ in pairs], "value_type string, a string, b string")
     same = rows.select(H._comparable("value_type", "a").eqNullSafe(H._comparable("value_type", "b")).alias("same")).collect()
     assert [r.same for r in same] == [x for _, _, x in pairs]
+
+
+def test_base_is_compared_with_all_locales_whatever_is_selected(spark, small):
+    tr, occ, rules, loc = small
+    got = H.missing(occ, tr, C.plural_dim(spark), rules, loc, selected=loc.where("locale = 'en'")).collect()
+    assert {r["locale"] for r in got} == {"en"} and "extra" in {r["key"] for r in got}
