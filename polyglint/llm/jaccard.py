@@ -153,9 +153,9 @@ def similar_components(docs: DataFrame) -> DataFrame:
        over all blocks, and pairs that cannot reach the bound of their sizes are discarded. Each document's best pair is
        compared exactly; components follow.
     4. Columns whose documents are in different components yet are multiplied in full, across components only, where the
-       n-gram is early enough in both orders for the two sizes; what comes of it is compared exactly. Near copies are
-       together by then, and those that are not have n-grams of their own that come first, so a large group does not
-       cost its square.
+       n-gram is early enough in both orders for the two sizes. What comes of it is counted over all kept n-grams, held
+       to the same bound, and compared exactly. Near copies are together by then, and those that are not have n-grams of
+       their own that come first, so a large group does not cost its square.
 
     Common n-grams are aggregated on the map side and met by broadcast (at most COMMON columns); all other columns have
     less than 1 / COMMON of the sample's rows.
@@ -189,7 +189,11 @@ def similar_components(docs: DataFrame) -> DataFrame:
     other = left.select("gram", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("component").alias("of_b"))
     n, n_b = F.col("n"), F.col("n_b")
     across = left.join(other, "gram").where("component < of_b").where(_fits(n, n_b) & _early(F.col("place"), n, n_b) & _early(F.col("place_b"), n_b, n))
-    more = _verified(known, across.select(F.col("doc_id").alias("a"), "b").distinct().join(best, ["a", "b"], "left_anti"))
+    pairs = saved(across.select(F.col("doc_id").alias("a"), "b", "n", "n_b").distinct().join(best, ["a", "b"], "left_anti"))
+    held = saved(left.groupBy("doc_id").agg(F.collect_list("gram").alias("grams")))
+    one, two = (held.select(F.col("doc_id").alias(c), F.col("grams").alias(f"grams_{c}")) for c in "ab")
+    overlap = F.size(F.array_intersect("grams_a", "grams_b"))
+    more = _verified(known, pairs.join(one, "a").join(two, "b").where(_possible(overlap, n, n_b)))
     every = links.unionByName(more).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("keep").alias("b")))
     final = components(every)
     named = measured.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
