@@ -21,8 +21,9 @@ LEAST_WORDS = 8
 WALKS, SAMPLED = 32, 2
 #: Bits of a hash by which words' runs that no item has are set aside before the sorted runs are searched.
 _FILTER_BITS = 22
-#: Items worked on at once, which bounds what is broadcast. More items take more passes over the documents.
-BLOCK_ITEMS = 20_000
+#: Items and bytes of their texts worked on at once, which bounds what is broadcast. More take more passes over the
+#: documents.
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 _PAD = np.uint64(0xFFFFFFFFFFFFFFFF)
 FOUND = "item_id long, start long, n_words long, distance int"
 
@@ -165,8 +166,8 @@ def search(items: Items, texts: pa.Array) -> tuple[np.ndarray, ...]:
 def _blocks(benchmark: DataFrame) -> Iterator[Items]:
     """The benchmark in blocks that fit a broadcast."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
-    count = rows.count()
-    parts = max(1, -(-count // BLOCK_ITEMS))
+    count, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(1, -(-count // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
     for part in range(parts):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         yield prepare(own.toArrow())
