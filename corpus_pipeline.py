@@ -18,8 +18,9 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the runs of lines that stand earlier; n_chars follows the text. No row goes."""
-    kept = lineruns.without_repeated_runs(docs)
+    """Documents without the runs of lines, and the single lines of LONE_WORDS words or more, that stand earlier; n_chars
+    follows the text. No row goes."""
+    kept = lineruns.without_repeated_runs(docs, lone_words=lineruns.LONE_WORDS)
     length = F.when(F.col("lines_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.select(*[length.alias(c) if c == "n_chars" else c for c in docs.columns])
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyglint.llm.mixing import words_in
 from polyglint.llm.naming import named
 from polyglint.llm.storage import saved
 
 #: Lines of the shortest run that counts.
 MIN_LINES = 2
+#: Words from which a line that repeats alone counts too, where that is asked for.
+LONE_WORDS = 5
 
 
 def _lines(text: Column) -> Column:
@@ -34,9 +37,25 @@ def _doubled(ranks: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
     return saved(longer.select("doc_id", "key", "pos", F.col("new").alias("rank"), "first")), intervals
 
 
-def repeated_runs(docs: DataFrame, *, min_lines: int = MIN_LINES) -> DataFrame:
+def _first(ranks: DataFrame) -> DataFrame:
+    """``ranks`` of lines that stand twice at least, with the earliest place of each. Frequent lines have negative names
+    and are few, so they are met by broadcast."""
+    first = ranks.groupBy("rank").agg(F.min(F.struct("doc_id", "key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = saved(first.drop("n"))
+    often = ranks.where("rank < 0").join(F.broadcast(first.where("rank < 0")), "rank")
+    return ranks.where("rank >= 0").join(first.where("rank >= 0"), "rank").unionByName(often)
+
+
+def _later(ranks: DataFrame, n_lines: int) -> DataFrame:
+    """Where runs of ``n_lines`` lines begin and end that are not the earliest of their rank."""
+    later = ranks.where(F.struct("doc_id", "key", "pos") > F.col("first")).select("doc_id", "key", "pos")
+    return later.withColumn("end", F.col("pos") + n_lines)
+
+
+def repeated_runs(docs: DataFrame, *, min_lines: int = MIN_LINES, lone_words: int | None = None) -> DataFrame:
     """(doc_id, key, start, end): the maximal stretches of each document (doc_id, text) that are made of runs of
-    ``min_lines`` lines which stand earlier as well, in an earlier document or further up in this one.
+    ``min_lines`` lines which stand earlier as well, in an earlier document or further up in this one, and with
+    ``lone_words`` also of single lines of so many words that do.
 
     Lines get integer names by their content, once. Then prefix doubling ranks the runs of 2, 4, ... lines that begin
     at each place, up to ``min_lines`` (the last step overlaps where that is no power of two): equal ranks are an
@@ -46,25 +65,31 @@ def repeated_runs(docs: DataFrame, *, min_lines: int = MIN_LINES) -> DataFrame:
     lines = docs.where("doc_id IS NOT NULL").select(
         "doc_id", F.xxhash64("text").alias("key"), F.posexplode(_lines(F.col("text"))).alias("pos", "line")
     )
-    ranks = saved(named(lines, ["line"], "rank")).select("doc_id", "key", "pos", "rank")
+    if lone_words is not None:
+        lines = lines.withColumn("long", words_in(F.col("line")) >= lone_words)
+    ranks = saved(named(lines, ["line"], "rank"))
+    lone = None if lone_words is None else _later(_first(ranks.where("long").drop("long")), 1)
+    ranks = ranks.select("doc_id", "key", "pos", "rank")
     if min_lines == 1:
-        first = F.min(F.struct("doc_id", "key", "pos")).alias("first")
-        ranks = ranks.join(saved(ranks.groupBy("rank").agg(first)), "rank")
+        ranks = _first(ranks)
     length = 1
     while length < min_lines:
         step = min(length, min_lines - length)
         ranks, _ = _doubled(ranks.select("doc_id", "key", "pos", "rank"), step)
         length += step
-    later = ranks.where(F.struct("doc_id", "key", "pos") > F.col("first")).select("doc_id", "key", "pos").distinct()
+    later = _later(ranks, min_lines)
+    later = later if lone is None else later.unionByName(lone)
+    later = later.groupBy("doc_id", "key", "pos").agg(F.max("end").alias("end"))
     by_doc = Window.partitionBy("doc_id", "key").orderBy("pos")
-    fresh = F.coalesce(F.col("pos") > F.lag("pos").over(by_doc) + min_lines, F.lit(True))
+    reach = F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("pos") > reach, F.lit(True))
     runs = later.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(by_doc))
-    return runs.groupBy("doc_id", "key", "run").agg(F.min("pos").alias("start"), (F.max("pos") + min_lines).alias("end")).drop("run")
+    return runs.groupBy("doc_id", "key", "run").agg(F.min("pos").alias("start"), F.max("end").alias("end")).drop("run")
 
 
-def without_repeated_runs(docs: DataFrame, *, min_lines: int = MIN_LINES, text: str = "text") -> DataFrame:
+def without_repeated_runs(docs: DataFrame, *, min_lines: int = MIN_LINES, lone_words: int | None = None, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` freed of the later copies of repeated runs of lines (the columns keep their order), and
-    ``lines_before`` and ``lines_removed``.
+    ``lines_before`` and ``lines_removed``. With ``lone_words``, later copies of single lines of so many words go too.
 
     Defined cases: null and empty texts are one empty line, and a null text stays null; a text whose lines all go
     becomes empty, its row stays; a null doc_id is neither earlier nor later than another document; rows that repeat a
@@ -72,7 +97,7 @@ def without_repeated_runs(docs: DataFrame, *, min_lines: int = MIN_LINES, text:
     are carried along, but for ones named lines_before or lines_removed, which are replaced; an empty table gives an
     empty result.
     """
-    runs = repeated_runs(docs.select("doc_id", F.col(text).alias("text")), min_lines=min_lines)
+    runs = repeated_runs(docs.select("doc_id", F.col(text).alias("text")), min_lines=min_lines, lone_words=lone_words)
     runs = runs.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_runs"))
     runs = runs.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "_runs")
     # the row's own columns stand in a struct, so that their names meet none of these
