@@ -97,6 +97,27 @@ def distances(windows: np.ndarray, items: np.ndarray) -> np.ndarray:
     return row[:, -1]
 
 
+def free_distances(texts: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text (rows, padded) the stretch of it that is nearest to the item (rows): edit distance, first word and
+    end. Of stretches at equal distance, the one that begins first, and of those the longest."""
+    n, width = items.shape
+    # a cell is the distance and, below it, the first word of the stretch, so that the least cell decides both
+    unit = texts.shape[1] + 1
+    steps = unit * np.arange(width + 1)
+    row = np.repeat(steps[None, :], n, axis=0)
+    best, end = row[:, -1].copy(), np.zeros(n, np.int64)
+    for j in range(texts.shape[1]):
+        word = texts[:, j]
+        replaced = row[:, :-1] + unit * (items != word[:, None])
+        new = np.empty_like(row)
+        new[:, 0] = j + 1
+        new[:, 1:] = np.minimum(replaced, row[:, 1:] + unit)
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+        better = (row[:, -1] <= best) & (word != _PAD)
+        best, end = np.where(better, row[:, -1], best), np.where(better, j + 1, end)
+    return best // unit, best % unit, end
+
+
 def prepare(rows: pa.Table) -> Items:
     """Items (item_id, text) by number of words. Null texts and short ones are left out; equal items stay apart."""
     words = words_of(rows.column("text").combine_chunks(), lower=True)
@@ -116,8 +137,12 @@ def prepare(rows: pa.Table) -> Items:
     return Items(out, marks)
 
 
-def search(items: Items, texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """Row, item, first word, words and distance of the best window of each item found in each text."""
+def search(items: Items, texts: pa.Array, *, free_ends: bool = False) -> tuple[np.ndarray, ...]:
+    """Row, item, first word, words and distance of the best window of each item found in each text.
+
+    Windows have the item's number of words. With ``free_ends`` those are candidates only, and what is given is the
+    stretch of any number of words around them that is nearest to the item.
+    """
     words = words_of(texts, lower=True)
     hashes, first = words.hashes(), words.first
     prefix, rows, found, some = Prefix(hashes), words.row_of_word(), [], {}
@@ -134,30 +159,40 @@ def search(items: Items, texts: pa.Array) -> tuple[np.ndarray, ...]:
             continue
         owner = group.owners[np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())]
         at, per_item = np.repeat(hit, times), group.words - group.gram + 1
-        item, offset = owner // per_item, owner % per_item
+        item, offset, reach = owner // per_item, owner % per_item, int(edits(group.words))
+        places = np.unique(np.stack([item, at - offset, rows[at]]), axis=1)
         # windows of the item's size that hold the run at its place, or shifted by as many words as there may be edits
-        reach = int(edits(group.words))
-        shifted = (at - offset)[:, None] + np.arange(-reach, reach + 1)
-        row = np.repeat(rows[at], 2 * reach + 1)
-        starts = np.clip(shifted.ravel(), first[row], np.maximum(first[row], first[row + 1] - group.words))
-        pairs = np.unique(np.stack([np.repeat(item, 2 * reach + 1), starts]), axis=1)
-        places, back = np.unique(pairs[1], return_inverse=True)
-        stops = np.minimum(places + group.words, first[rows[places] + 1])
-        codes = _walk(hashes, places, stops, group.words)
+        shifted = places[1][:, None] + np.arange(-reach, reach + 1)
+        row = np.repeat(places[2], 2 * reach + 1)
+        # a stretch with words deleted may begin where the text is too short for a whole window
+        least = group.words - reach if free_ends else group.words
+        starts = np.clip(shifted.ravel(), first[row], np.maximum(first[row], first[row + 1] - least))
+        pairs, pair = np.unique(np.stack([np.repeat(places[0], 2 * reach + 1), starts]), axis=1, return_inverse=True)
+        unique, back = np.unique(pairs[1], return_inverse=True)
+        codes = _walk(hashes, unique, np.minimum(unique + group.words, first[rows[unique] + 1]), group.words)
         agree = (codes[back] == group.codes[pairs[0]]).any(axis=1)
-        item, starts = pairs[0][agree], pairs[1][agree]
+        if free_ends:
+            # what stands within the edits and has the run at this place lies inside these words
+            item, place, row = places[:, agree[pair.ravel()].reshape(shifted.shape).any(axis=1)]
+            starts, stops = np.maximum(place - reach, first[row]), np.minimum(place + group.words + reach, first[row + 1])
+        else:
+            item, starts = pairs[:, agree]
+            row = rows[starts]
+            stops = np.minimum(starts + group.words, first[row + 1])
         if not len(item):
             continue
-        stops = np.minimum(starts + group.words, first[rows[starts] + 1])
-        cells = starts[:, None] + np.arange(group.words)
+        cells = starts[:, None] + np.arange(group.words + 2 * reach * free_ends)
         windows = np.where(cells < stops[:, None], hashes[np.minimum(cells, len(hashes) - 1)], _PAD)
-        distance = distances(windows, group.hashes[item])
-        near = np.flatnonzero(distance <= edits(group.words))
-        found.append(np.stack([rows[starts[near]], group.ids[item[near]], starts[near] - first[rows[starts[near]]], (stops - starts)[near], distance[near]]))
+        if free_ends:
+            distance, begin, end = free_distances(windows, group.hashes[item])
+        else:
+            distance, begin, end = distances(windows, group.hashes[item]), np.zeros_like(starts), stops - starts
+        near = np.flatnonzero(distance <= reach)
+        found.append(np.stack([row, group.ids[item], starts + begin - first[row], end - begin, distance])[:, near])
     if not found:
         return tuple(np.zeros((5, 0), np.int64))
     every = np.concatenate(found, axis=1)
-    every = every[:, np.lexsort((every[2], every[4], every[1], every[0]))]
+    every = every[:, np.lexsort((-every[3], every[2], every[4], every[1], every[0]))]
     best = np.ones(every.shape[1], bool)
     best[1:] = (every[0, 1:] != every[0, :-1]) | (every[1, 1:] != every[1, :-1])
     return tuple(every[:, best])
@@ -177,12 +212,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item that it holds, up to edits: doc_id, item_id, start and n_words of the best window
     (in words), and its distance.
 
-    Words are compared with A to Z as small letters. Windows have the item's number of words. Those that share a run of
-    words which any window within the allowed edits must share are embedded by random walks; windows that agree with an
-    item in all sampled places of one walk (of WALKS) are candidates, and their edit distance is computed.
+    Words are compared with A to Z as small letters. Places that share a run of words which any stretch within the
+    allowed edits must share are looked at by windows of the item's number of words, embedded by random walks; where a
+    window agrees with an item in all sampled places of one walk (of WALKS), the edit distance is computed to the nearest
+    stretch of the text around it, of any number of words within the edits.
 
-    Defined cases: null and empty texts hold nothing; a shorter text than the item is one window; of windows at equal
-    distance, the first is given; items with fewer than LEAST_WORDS words are not looked for; repeated rows are reported
+    Defined cases: null and empty texts hold nothing; of stretches at equal distance, the first is given, and of those
+    the longest; items with fewer than LEAST_WORDS words are not looked for; repeated rows are reported
     each, repeated items once per item_id and document in a block; null ids are kept (item_id -1); other columns are not
     looked at; an empty table on either side gives an empty result.
     """
@@ -192,7 +228,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in chunks(batches, "text"):
-                row, item, start, size, distance = search(shared.value, batch.column("text"))
+                row, item, start, size, distance = search(shared.value, batch.column("text"), free_ends=True)
                 arrays = [batch.column("doc_id").take(pa.array(row)), pa.array(item), pa.array(start), pa.array(size), pa.array(distance.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "start", "n_words", "distance"])
 
@@ -208,7 +244,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in chunks(batches, "text"):
                 clean = np.ones(batch.num_rows, bool)
-                clean[search(shared.value, batch.column("text"))[0]] = False
+                clean[search(shared.value, batch.column("text"), free_ends=True)[0]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
