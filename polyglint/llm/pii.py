@@ -22,10 +22,14 @@ KINDS = (*PATTERNS, "term")
 _SOME = r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]++\.[A-Za-z0-9-]|[0-9]\.[0-9]++\.[0-9]++\.[0-9]|[0-9](?:[\x20-]?+[0-9]){13}|\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2}|(?<=0))"
 
-#: A term reveals an entity if their pointwise mutual information is at least DISCLOSURE times the entity's own
-#: information, in so many documents at least. 1 would ask that the term never stands without the entity.
+#: A term reveals an entity, or a class of entities, if their pointwise mutual information is at least DISCLOSURE times
+#: the information of the class. 1 would ask that the term never stands without it. The share of the term's documents
+#: that hold the class is taken with SMOOTHING documents of the corpus's own share added, so that the fewer documents a
+#: pair has, the rarer the class must be.
 DISCLOSURE = 0.9
-LEAST_DOCUMENTS = 3
+SMOOTHING = 0.5
+#: Digits of a card or phone number that make its class.
+_DIGITS = 6
 _TERM = r"\p{L}{3,}+"
 
 
@@ -39,10 +43,10 @@ def _valid(kind: Column, match: Column) -> Column:
     )
 
 
-def _matches(lines: DataFrame, kind: str, pattern: str) -> DataFrame:
-    """Matches of one pattern in lines (row, doc_id, line_no, offset, line): row, doc_id, line_no, kind, match, start,
+def _matches(lines: DataFrame, kind: str, pattern: str | Column) -> DataFrame:
+    """Matches of one pattern, or of each line's own, in lines (row, doc_id, line_no, offset, line): row, doc_id, line_no, kind, match, start,
     end, in code points of the text. What stands between the matches gives their places."""
-    between = F.transform(F.split("line", pattern, -1), lambda x: F.char_length(x))
+    between = F.transform(F.split("line", F.lit(pattern), -1), lambda x: F.char_length(x))
     found = F.regexp_extract_all(F.col("line"), F.lit(pattern), F.lit(0))
     each = lines.select("row", "doc_id", "line_no", "offset", F.posexplode(F.arrays_zip(found.alias("match"), between.alias("gap"))).alias("i", "x"))
     each = each.select("row", "doc_id", "line_no", "offset", "i", F.col("x.match").alias("match"), F.col("x.gap").alias("gap")).where("match IS NOT NULL")
@@ -73,32 +77,91 @@ def base_spans(lines: DataFrame) -> DataFrame:
     return found.where(_valid(F.col("kind"), F.col("match")))
 
 
+def document_terms(rows: DataFrame) -> DataFrame:
+    """(row, form) for the distinct words of each row, as they are written."""
+    forms = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(_TERM), F.lit(0)))
+    return rows.select("row", F.explode(forms).alias("form"))
+
+
 def document_frequencies(rows: DataFrame) -> DataFrame:
     """(term, in_documents) over all rows."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))
+    forms = F.regexp_extract_all(F.col("text"), F.lit(_TERM), F.lit(0))
+    terms = F.array_distinct(F.transform(forms, lambda w: F.lower(w)))
     return rows.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("in_documents"))
 
 
-def disclosing_terms(rows: DataFrame, terms: DataFrame, entities: DataFrame, *, disclosure: float, least: int) -> DataFrame:
-    """(kind, entity, term) whose mutual information is at least ``disclosure`` times the information of the entity.
+_CLASS = ["kind", "level", "class"]
 
-    With n documents: log(n_et * n / (n_e * n_t)) >= disclosure * log(n / n_e), where n_et counts documents with term
-    and entity on one line, n_t those with the term anywhere in the corpus and n_e those with the entity.
-    """
-    total = rows.agg(F.count(F.lit(1)).alias("n"))
-    by_entity = entities.select("kind", "entity", "row").distinct().groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("n_e"))
-    both = terms.select("row", "line_no", "term").distinct().join(entities.select("row", "line_no", "kind", "entity").distinct(), ["row", "line_no"])
-    pairs = both.select("kind", "entity", "term", "row").distinct().groupBy("kind", "entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= least)
-    counted = pairs.join(by_entity, ["kind", "entity"]).join(document_frequencies(rows), "term").join(F.broadcast(total))
-    information = F.log(F.col("n") / F.col("n_e"))
-    shared = F.log(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("in_documents")))
-    return counted.where(shared >= disclosure * information).select("kind", "entity", "term")
+
+def classes(entities: DataFrame) -> DataFrame:
+    """(row, line_no, kind, level, class) of ``entities`` (row, line_no, kind, entity): each value, what it shares with
+    others (mail domain, network, first digits), and its kind."""
+    entity = F.col("entity")
+    part = (
+        F.when(F.col("kind") == "email", F.substring_index(entity, "@", -1))
+        .when(F.col("kind") == "ip", F.substring_index(entity, ".", 3))
+        .otherwise(F.substring(entity, 1, _DIGITS))
+    )
+    levels = [F.struct(F.lit(level).alias("level"), value.alias("class")) for level, value in (("value", entity), ("part", part), ("kind", F.lit("")))]
+    each = entities.select("row", "line_no", "kind", F.explode(F.array(*levels)).alias("of"))
+    return each.select("row", "line_no", "kind", "of.level", "of.class")
 
 
-def spans(rows: DataFrame, *, disclosure: float = DISCLOSURE, least: int = LEAST_DOCUMENTS) -> DataFrame:
+def _discloses(both: Column, disclosure: float) -> Column:
+    """Whether so many common documents of class and term pass, given n, n_c and in_documents. With P(c) = n_c / n:
+    log(P(c | term) / P(c)) >= disclosure * -log(P(c))."""
+    share = F.col("n_c") / F.col("n")
+    given = (both + SMOOTHING * share) / (F.col("in_documents") + SMOOTHING)
+    return F.log(given) >= (1 - disclosure) * F.log(share)
+
+
+def disclosing_terms(rows: DataFrame, terms: DataFrame, entities: DataFrame, *, disclosure: float) -> DataFrame:
+    """The terms whose mutual information with a class of ``entities`` is at least ``disclosure`` times the information
+    of the class, as (kind, level, class, term).
+
+    Candidates stand on one line with the entity in some document; all counts are of documents: those with the class
+    (n_c), with the term (in_documents), and with both, wherever they stand in it. Pairs that could not pass if every
+    document of the rarer one held the other are discarded before common documents are counted.
+    """
+    of = saved(classes(entities).distinct())
+    total = rows.agg(F.count(F.lit(1)).alias("n"))
+    holds = saved(of.drop("line_no").distinct())
+    by_class = holds.groupBy(_CLASS).agg(F.count(F.lit(1)).alias("n_c"))
+    near = saved(terms.select("row", "line_no", "term").distinct().join(of, ["row", "line_no"]).select(*_CLASS, "term").distinct())
+    counted = near.join(by_class, _CLASS).join(document_frequencies(rows), "term").join(F.broadcast(total))
+    possible = saved(counted.where(_discloses(F.least("n_c", "in_documents"), disclosure)))
+    present = document_terms(rows.join(holds.select("row").distinct(), "row", "left_semi")).select("row", F.lower("form").alias("term")).distinct()
+    present = saved(present.join(saved(possible.select("term").distinct()), "term", "left_semi"))
+    both = present.join(holds, "row").groupBy(*_CLASS, "term").agg(F.count(F.lit(1)).alias("n_ct"))
+    return possible.join(both, [*_CLASS, "term"]).where(_discloses(F.col("n_ct"), disclosure)).select(*_CLASS, "term")
+
+
+def occurrences(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """Every occurrence of ``terms`` (term) in ``rows``, as spans of kind ``term``."""
+    forms = document_terms(rows).withColumn("term", F.lower("form")).join(terms, "term")
+    # the words are letters only, so they stand in a pattern as they are
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.sort_array(F.collect_list("form")), "|"), F.lit(r")(?!\p{L})"))
+    held = saved(forms.groupBy("row").agg(pattern.alias("pattern")))
+    lines = rows.join(held, "row").select("row", "doc_id", F.lit(0).alias("line_no"), F.lit(0).cast("long").alias("offset"), F.col("text").alias("line"), "pattern")
+    return _matches(lines, "term", F.col("pattern"))
+
+
+def _outside(base: DataFrame, told: DataFrame) -> DataFrame:
+    """Spans of ``base``, and those of ``told`` that overlap none of them."""
+    by_row = Window.partitionBy("row").orderBy("start")
+    ends, starts = (F.when(F.col("kind") != "term", F.col(c)) for c in ("end", "start"))
+    before = F.max(ends).over(by_row.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    behind = F.min(starts).over(by_row.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    every = base.unionByName(told).withColumn("before", before).withColumn("behind", behind)
+    free = F.coalesce(F.col("before") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("behind") >= F.col("end"), F.lit(True))
+    return every.where((F.col("kind") != "term") | free).drop("before", "behind")
+
+
+def spans(rows: DataFrame, *, disclosure: float = DISCLOSURE) -> DataFrame:
     """All spans of ``numbered`` rows: row, doc_id, kind, start, end (code points, end exclusive), each once.
 
-    Kinds: those of PATTERNS, and ``term`` for words that stand on a line with an entity they reveal, outside its match.
+    Kinds: those of PATTERNS, and ``term`` for words that reveal an entity or a class of entities, wherever they stand in
+    any document, outside the matches.
     """
     lines = saved(contexts(rows))
     base = saved(base_spans(lines))
@@ -108,13 +171,12 @@ def spans(rows: DataFrame, *, disclosure: float = DISCLOSURE, least: int = LEAST
     taken = base.select("row", "line_no", F.col("start").alias("from"), F.col("end").alias("to"))
     overlap = (words["row"] == taken["row"]) & (words["line_no"] == taken["line_no"]) & (words["start"] < taken["to"]) & (words["end"] > taken["from"])
     terms = saved(words.join(taken, overlap, "left_anti").withColumn("term", F.lower("match")))
-    reveal = saved(disclosing_terms(rows, terms, entities, disclosure=disclosure, least=least))
-    told = terms.join(entities.distinct().withColumnRenamed("kind", "of"), ["row", "line_no"]).join(reveal.withColumnRenamed("kind", "of"), ["of", "entity", "term"])
+    reveal = saved(disclosing_terms(rows, terms, entities, disclosure=disclosure).select("term").distinct())
     columns = ["row", "doc_id", "kind", "start", "end"]
-    return base.select(columns).unionByName(told.select(columns).distinct())
+    return _outside(base.select(columns), occurrences(rows, reveal).select(columns))
 
 
-def personal_data(docs: DataFrame, *, disclosure: float = DISCLOSURE, least: int = LEAST_DOCUMENTS) -> DataFrame:
+def personal_data(docs: DataFrame, *, disclosure: float = DISCLOSURE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, n_term, and ``found``, the
     spans as structs (start, rank of the kind, kind, end) in order of start and kind.
 
@@ -125,7 +187,7 @@ def personal_data(docs: DataFrame, *, disclosure: float = DISCLOSURE, least: int
     rows = numbered(docs)
     rank = reduce(lambda c, k: c.when(F.col("kind") == k, KINDS.index(k)), KINDS[1:], F.when(F.col("kind") == KINDS[0], 0))
     one = F.struct("start", rank.alias("rank"), "kind", "end")
-    by_row = spans(rows, disclosure=disclosure, least=least).groupBy("row").agg(F.sort_array(F.collect_list(one)).alias("found"))
+    by_row = spans(rows, disclosure=disclosure).groupBy("row").agg(F.sort_array(F.collect_list(one)).alias("found"))
     none = F.array().cast("array<struct<start: bigint, rank: int, kind: string, end: bigint>>")
     joined = rows.select("doc_id", "row").join(by_row, "row", "left").select("doc_id", F.coalesce("found", none).alias("found"))
     return joined.select("doc_id", *[_count(k).alias(f"n_{k}") for k in KINDS], "found")
@@ -140,13 +202,13 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def sanitised(docs: DataFrame, *, disclosure: float = DISCLOSURE, least: int = LEAST_DOCUMENTS) -> DataFrame:
+def sanitised(docs: DataFrame, *, disclosure: float = DISCLOSURE) -> DataFrame:
     """``docs`` (doc_id, text) with each stretch of spans put as the kind of its first one in brackets: values are
     generalised to their kind, revealing terms to ``[TERM]``. Cases as in ``personal_data``; a null text stays null."""
     rows = numbered(docs)
     by_row = Window.partitionBy("row").orderBy("start", "end")
     reach = F.max("end").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
-    found = spans(rows, disclosure=disclosure, least=least)
+    found = spans(rows, disclosure=disclosure)
     found = found.withColumn("fresh", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("stretch", F.sum("fresh").over(by_row))
     stretches = found.groupBy("row", "stretch").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "end")).alias("kind"))
     lists = stretches.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts"))
