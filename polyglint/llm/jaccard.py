@@ -54,11 +54,16 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(values))
 
 
+def _signatures(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two sums of 64 bits that tell the sets apart."""
+    sums = [[mixed(s, seed).sum(dtype=np.uint64) for s in sets] for seed in (1, 2)]
+    return [pa.array(np.array(x, np.uint64).view(np.int64)) for x in sums]
+
+
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text"):
         sets = _sets(batch.column("text"))
-        sums = [[mixed(s, seed).sum(dtype=np.uint64) for s in sets] for seed in (1, 2)]
-        arrays = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in sums)]
+        arrays = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *_signatures(sets)]
         yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "sig1", "sig2"])
 
 
@@ -90,13 +95,14 @@ def prefix_length(n):
 
 
 def _incidence(docs: DataFrame, order: Order) -> DataFrame:
-    """Rows of the incidence that can begin a link: (gram, doc_id, n, place, common) for the rarest n-grams of each
-    document, with their place in its order."""
+    """Rows of the incidence that can begin a link: (gram, doc_id, n, place, common, sig1, sig2) for the rarest n-grams
+    of each document, with their place in its order and the signature of its set."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             ids, sets = batch.column("doc_id"), _sets(batch.column("text"))
+            sums = _signatures(sets)
             grams = np.concatenate([np.zeros(0, np.uint64), *sets])
             sizes = np.array([len(s) for s in sets], np.int64)
             rows, levels = np.repeat(np.arange(len(sets)), sizes), shared.value.level(grams)
@@ -104,10 +110,10 @@ def _incidence(docs: DataFrame, order: Order) -> DataFrame:
             place = np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             early = place < prefix_length(sizes)[rows]
             keep = ranked[early]
-            arrays = [pa.array(grams[keep].view(np.int64)), ids.take(pa.array(rows[keep])), pa.array(sizes[rows[keep]]), pa.array(place[early].astype(np.int32)), pa.array(levels[keep] > 0)]
-            yield pa.RecordBatch.from_arrays(arrays, ["gram", "doc_id", "n", "place", "common"])
+            arrays = [pa.array(grams[keep].view(np.int64)), ids.take(pa.array(rows[keep])), pa.array(sizes[rows[keep]]), pa.array(place[early].astype(np.int32)), pa.array(levels[keep] > 0), *(x.take(pa.array(rows[keep])) for x in sums)]
+            yield pa.RecordBatch.from_arrays(arrays, ["gram", "doc_id", "n", "place", "common", "sig1", "sig2"])
 
-    return docs.mapInArrow(run, "gram long, doc_id long, n long, place int, common boolean")
+    return docs.mapInArrow(run, "gram long, doc_id long, n long, place int, common boolean, sig1 long, sig2 long")
 
 
 def _fits(n_a: Column, n_b: Column) -> Column:
@@ -169,10 +175,10 @@ def similar_components(docs: DataFrame) -> DataFrame:
     measured = saved(texts.mapInArrow(_measured, "doc_id long, n long, sig1 long, sig2 long"))
     filled = measured.where("n > 0 AND doc_id IS NOT NULL")
     classes = filled.groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).where("keep < last")
-    copies = saved(filled.join(saved(classes), ["n", "sig1", "sig2"]).where("doc_id > keep").select("doc_id", "keep").distinct())
+    copies = saved(filled.join(saved(classes), ["n", "sig1", "sig2"]).where("doc_id > keep").select("doc_id", "keep", "n", "sig1", "sig2").distinct())
 
     rows = saved(_product_rows(_incidence(known, _order(known))))
-    rows = saved(rows.join(copies.select("doc_id"), "doc_id", "left_anti"))
+    rows = saved(rows.join(copies, ["doc_id", "n", "sig1", "sig2"], "left_anti").drop("sig1", "sig2"))
     first = F.min(F.struct("doc_id", "n")).alias("first")
     seldom = rows.where("NOT common").join(saved(rows.where("NOT common").groupBy("gram").agg(first)), "gram")
     often = rows.where("common").join(F.broadcast(rows.where("common").groupBy("gram").agg(first)), "gram")
