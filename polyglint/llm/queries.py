@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyglint.llm import decontamination, exact, jaccard, labelled, lineruns, mixing, pii, quality, substring, toxicity, warc
+from polyglint.llm import decontamination, exact, jaccard, labelled, lineruns, mixing, phrases, pii, quality, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -226,3 +226,46 @@ def op5_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with similar shingle sets."""
     return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, doc_id, p, regexp_extract_all(ps[p], '[^\x20\x09]+') AS w
+        FROM (SELECT lang, doc_id, ps, unnest(range(1, len(ps) + 1)) AS p
+              FROM (SELECT lang, doc_id, string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents))
+    ), totals AS (
+        SELECT lang, sum(len(w))::HUGEINT AS n FROM pieces GROUP BY lang
+    ), grams AS (
+        SELECT lang, w[i:i + d - 1] AS g
+        FROM (SELECT lang, w, d, unnest(range(1, len(w) - d + 2)) AS i FROM (SELECT lang, w, unnest([1, 2, 3, 4, 5]) AS d FROM pieces))
+    ), counts AS (
+        SELECT lang, g, count(*)::HUGEINT AS f FROM grams GROUP BY lang, g HAVING count(*) >= 100
+    ), candidates AS (
+        SELECT lang, g, f FROM counts WHERE len(g) > 1
+    ), cuts AS (
+        SELECT c.lang, c.g, c.f AS a, k, x.f AS l, y.f AS r, n, (1000 * c.f * n) // (x.f * y.f) AS score
+        FROM (SELECT *, unnest(range(1, len(g))) AS k FROM candidates) c
+        JOIN counts x ON x.lang = c.lang AND x.g = c.g[1:k]
+        JOIN counts y ON y.lang = c.lang AND y.g = c.g[k + 1:]
+        JOIN totals t ON t.lang = c.lang
+    ), least AS (
+        SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS place FROM cuts
+    ), inner_parts AS (
+        SELECT lang, g[i:i + d - 1] AS g, max(f) AS longer
+        FROM (SELECT lang, g, f, d, unnest(range(1, len(g) - d + 2)) AS i
+              FROM (SELECT lang, g, f, unnest(range(2, len(g))) AS d FROM candidates))
+        GROUP BY ALL
+    ), left_over AS (
+        SELECT s.*, array_to_string(s.g, ' ') AS phrase FROM least s LEFT JOIN inner_parts i ON i.lang = s.lang AND i.g = s.g
+        WHERE place = 1 AND coalesce(100 * longer < 100 * a, true)
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over
+    )
+    SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+    FROM ranked WHERE rank <= 2000
+    """
+)
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))

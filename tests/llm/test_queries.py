@@ -11,7 +11,7 @@ from polyglint.llm import queries
 @pytest.fixture(scope="module")
 def sql(sf_dir):
     con = duckdb.connect()
-    for name in ("documents", "pages", "benchmark", "labels"):
+    for name in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     return con
 
@@ -31,7 +31,7 @@ def test_query_equals_its_sql(spark, sf_dir, sql, name):
 def test_all_are_registered():
     names = entry.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark, sf_dir):
