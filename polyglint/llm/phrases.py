@@ -28,7 +28,7 @@ FILTER_BITS = 26
 #: Suffixes that one task sorts. Leading pairs of more occurrences are dealt out by the whole suffix.
 TASK_SUFFIXES = 1 << 20
 #: Bytes of text whose suffixes are aggregated before they are moved.
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
