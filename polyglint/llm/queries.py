@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyglint.llm import decontamination, exact, jaccard, labelled, lineruns, mixing, phrases, pii, quality, substring, toxicity, warc
+from polyglint.llm import decontamination, exact, jaccard, labelled, lineruns, mixing, phrases, pii, quality, sharding, substring, toxicity, trie, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -269,3 +269,58 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best phrases of each language."""
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards whose numbers of rows are at most one apart, equal texts together."""
+    found = sharding.sharded(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query(
+    """
+    WITH turns AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), ids AS (
+        SELECT DISTINCT conv_id FROM turns
+    ), crc AS (
+        SELECT conv_id, xor(4294967295, list_reduce(
+            list_concat([4294967295::BIGINT], flatten([[ord(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR ch IN string_split(conv_id::VARCHAR, '')])),
+            lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS c
+        FROM ids
+    ), convs AS (
+        SELECT conv_id, c % 6 AS h, conv_id - conv_id % 100 AS base FROM crc
+    ), parts AS (
+        SELECT c.conv_id, 0 AS part, pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.base WHERE pos < h
+        UNION ALL
+        SELECT c.conv_id, 1, pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id WHERE pos >= h
+    ), steps AS (
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, role, text FROM parts
+    ), paths AS (
+        SELECT conv_id, depth, len(text) AS chars, list({'role': role, 'text': text}) OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM steps
+        UNION ALL
+        SELECT conv_id, 0, 0, [] FROM convs
+    ), nodes AS (
+        SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars FROM paths GROUP BY depth, path
+    ), children AS (
+        SELECT path[:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+    ), counted AS (
+        SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.path = n.path
+    ), sums AS (
+        SELECT path[:d] AS path, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * chars) AS saved_tokens
+        FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM counted) GROUP BY 1
+    ), ends AS (
+        SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS sha
+        FROM (SELECT conv_id, arg_max(path, depth) AS path FROM paths GROUP BY conv_id) GROUP BY path
+    )
+    SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n.n_children::BIGINT AS n_children,
+           s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, coalesce(sha, sha256('')) AS ends_sha256
+    FROM counted n JOIN sums s ON s.path = n.path LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[:n.depth - 1] LEFT JOIN ends e ON e.path = n.path
+    """
+)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of the beginnings of all conversations."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
