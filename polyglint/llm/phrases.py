@@ -27,8 +27,8 @@ NO_LANG = "und"
 FILTER_BITS = 26
 #: Suffixes that one task sorts. Leading pairs of more occurrences are dealt out by the whole suffix.
 TASK_SUFFIXES = 1 << 20
-#: Bytes of text whose suffixes are aggregated before they are moved.
-_CHUNK = 1 << 20
+#: Bytes of text that are worked on at once, and suffixes that a task puts together before they are moved.
+_CHUNK, _HELD = 1 << 20, 1 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -71,7 +71,7 @@ class Tokens(NamedTuple):
     second: np.ndarray | None
 
 
-def _tokens(langs: pa.Array, texts: pa.Array, seed: int, *, checked: bool = False) -> Tokens:
+def _tokens(langs: pa.Array | pa.DictionaryArray, texts: pa.Array, seed: int, *, checked: bool = False) -> Tokens:
     raw, offsets = text_bytes(texts)
     data = _LOWER[raw]
     apart = _APART[data]
@@ -87,7 +87,7 @@ def _tokens(langs: pa.Array, texts: pa.Array, seed: int, *, checked: bool = Fals
     goes_on = np.zeros(len(starts), bool)
     goes_on[:-1] = (rows[1:] == rows[:-1]) & (breaks[1:] == breaks[:-1])
     # the language is part of a word's code, so that languages never meet
-    names = langs.dictionary_encode()
+    names = langs if isinstance(langs, pa.DictionaryArray) else langs.dictionary_encode()
     spelled_names = [bytes(x, "utf-8") for x in names.dictionary.to_pylist()]
     edges = np.cumsum([0, *map(len, spelled_names)])
     of_row = names.indices.to_numpy()
@@ -106,28 +106,49 @@ def _langs(batch: pa.RecordBatch) -> pa.Array:
 
 
 def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of one row of each kind and how often it stands, over rows that are equal in all columns."""
+    """Places of one row of each kind, over rows that are equal in all columns, and the kind of every row."""
     codes = np.zeros(len(columns[0]), np.uint64)
     for c in columns:
         codes = mixed(codes + c)
-    _, first, inverse, times = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
-    if all((c[first][inverse] == c).all() for c in columns):
-        return first, times
-    return np.arange(len(codes)), np.ones(len(codes), np.int64)  # two kinds with one code: counted later
+    _, first, kind = np.unique(codes, return_index=True, return_inverse=True)
+    if all((c[first][kind] == c).all() for c in columns):
+        return first, kind
+    return np.arange(len(codes)), np.arange(len(codes))  # two kinds with one code: put together later
 
 
-def _words(seed: int):
-    """(lang, code, word, times) of each batch."""
+def _counted(seed: int):
+    """(lang, code, times) of each batch: a row for each word with its code, and one for each language without a code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", _CHUNK):
+            langs = _langs(batch).dictionary_encode()
+            t = _tokens(langs, batch.column("text"), seed)
+            codes, times = np.unique(t.codes, return_counts=True)
+            n = np.bincount(langs.indices.to_numpy()[t.rows], minlength=len(langs.dictionary))
+            none = pa.nulls(len(n), pa.int64())
+            arrays = [
+                pa.concat_arrays([pa.nulls(len(codes), pa.string()), langs.dictionary.cast(pa.string())]),
+                pa.concat_arrays([pa.array(codes.view(np.int64)), none]),
+                pa.array(np.concatenate([times, n]).astype(np.int64)),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["lang", "code", "times"])
+
+    return run
+
+
+def _named(seed: int, frequent):
+    """(code, lang, word) of the frequent words of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", _CHUNK):
             langs = _langs(batch)
             t = _tokens(langs, batch.column("text"), seed, checked=True)
-            first, times = _distinct([t.codes, t.second])
+            often = np.flatnonzero(frequent.value.has(t.codes))
+            first = often[_distinct([t.codes[often], t.second[often]])[0]]
             buffer = t.data.tobytes()
             words = [buffer[a:b].decode() for a, b in zip(t.starts[first].tolist(), t.ends[first].tolist(), strict=True)]
-            arrays = [langs.take(pa.array(t.rows[first])), pa.array(t.codes[first].view(np.int64)), pa.array(words, pa.string()), pa.array(times.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(arrays, ["lang", "code", "word", "times"])
+            arrays = [pa.array(t.codes[first].view(np.int64)), langs.take(pa.array(t.rows[first])), pa.array(words, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["code", "lang", "word"])
 
     return run
 
@@ -136,7 +157,11 @@ def _pair_codes(t: Tokens) -> np.ndarray:
     """A code for each word and the one behind it."""
     behind = np.zeros(len(t.codes), np.uint64)
     behind[:-1] = t.codes[1:]
-    return mixed(t.codes * np.uint64(3) + mixed(behind, 3), 3)
+    return _pair_code(t.codes, behind)
+
+
+def _pair_code(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return mixed(one * np.uint64(3) + mixed(two, 3), 3)
 
 
 def _pairs(seed: int, frequent):
@@ -159,28 +184,38 @@ _SUFFIX = [f"w{i}" for i in range(1, LONGEST + 1)]
 
 def _suffixes(seed: int, frequent, pairs, crowded):
     """The suffixes that begin with a frequent pair, each cut where a pair is not frequent: w1 to w5 (0 behind the end),
-    times, split, route."""
+    times, split. Equal ones are put together over so many batches as a task can hold."""
+
+    def columns_of(t: Tokens) -> list[np.ndarray]:
+        joined = t.goes_on & frequent.value.has(t.codes)
+        joined[joined] = pairs.value.has(_pair_codes(t)[joined])
+        at = np.flatnonzero(joined)
+        columns, alive = [t.codes[at]], np.ones(len(at), bool)
+        for i in range(1, LONGEST):
+            alive &= joined[np.minimum(at + i - 1, len(joined) - 1)]
+            columns.append(np.where(alive, t.codes[np.minimum(at + i, len(joined) - 1)], np.uint64(0)))
+        return [*columns, np.ones(len(at), np.int64)]
+
+    def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        *columns, times = (np.concatenate(c) for c in zip(*parts, strict=True))
+        first, kind = _distinct(columns)
+        return [*(c[first] for c in columns), np.bincount(kind, times, len(first)).astype(np.int64)]
+
+    def rows(columns: list[np.ndarray]) -> pa.RecordBatch:
+        *words, times = columns
+        split = crowded.value.has(_pair_code(words[0], words[1]))
+        return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in words), pa.array(times), pa.array(split)], [*_SUFFIX, "times", "split"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
         for batch in chunks(batches, "text", _CHUNK):
-            t = _tokens(_langs(batch), batch.column("text"), seed)
-            pair = _pair_codes(t)
-            joined = t.goes_on & frequent.value.has(t.codes)
-            joined[joined] = pairs.value.has(pair[joined])
-            at = np.flatnonzero(joined)
-            columns, alive = [t.codes[at]], np.ones(len(at), bool)
-            for i in range(1, LONGEST):
-                alive &= joined[np.minimum(at + i - 1, len(joined) - 1)]
-                columns.append(np.where(alive, t.codes[np.minimum(at + i, len(joined) - 1)], np.uint64(0)))
-            first, times = _distinct(columns)
-            columns = [c[first] for c in columns]
-            split = crowded.value.has(pair[at[first]])
-            whole = columns[0]
-            for c in columns[1:]:
-                whole = mixed(whole + c)
-            route = np.where(split, whole, pair[at[first]])
-            arrays = [*(pa.array(c.view(np.int64)) for c in columns), pa.array(times.astype(np.int64)), pa.array(split), pa.array(route.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(arrays, [*_SUFFIX, "times", "split", "route"])
+            held.append(merged([columns_of(_tokens(_langs(batch), batch.column("text"), seed))]))
+            if sum(len(c[0]) for c in held) > _HELD:
+                held = [merged(held)]
+                if len(held[0][0]) > _HELD // 2:
+                    yield rows(held.pop())
+        if held:
+            yield rows(merged(held))
 
     return run
 
@@ -246,32 +281,46 @@ def _sorted(least: int):
     return run
 
 
-def word_counts(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(code, lang, word, times) of all words, and the seed with which no two words have one code."""
+class WordCounts(NamedTuple):
+    """(code, lang, word, times) of the words that stand often enough, the words of each language (lang, n), and the
+    seed with which no two of the former have one code."""
+
+    words: DataFrame
+    totals: DataFrame
+    seed: int
+    frequent: object
+
+
+def word_counts(docs: DataFrame, *, least: int) -> WordCounts:
     seed = 0
     while True:
-        each = docs.mapInArrow(_words(seed), "lang string, code long, word string, times long")
+        each = docs.mapInArrow(_counted(seed), "lang string, code long, times long")
+        counts = saved(each.groupBy("lang", "code").agg(F.sum("times").alias("times")).where((F.col("times") >= least) | F.col("code").isNull()))
+        often = counts.where("code IS NOT NULL").select("code", "times")
+        frequent = docs.sparkSession.sparkContext.broadcast(_bits(often))
         name = F.struct("lang", "word")
-        counts = saved(each.groupBy("code").agg(F.min(name).alias("low"), F.max(name).alias("high"), F.sum("times").alias("times")))
-        if counts.where("low <> high").isEmpty():
-            return counts.select("code", "low.lang", "low.word", "times"), seed
+        named = docs.mapInArrow(_named(seed, frequent), "code long, lang string, word string").groupBy("code").agg(F.min(name).alias("low"), F.max(name).alias("high"))
+        words = saved(often.join(named, "code"))
+        if words.where("low <> high").isEmpty():
+            totals = saved(counts.where("code IS NULL AND times > 0").select("lang", F.col("times").alias("n")))
+            return WordCounts(words.select("code", "low.lang", "low.word", "times"), totals, seed, frequent)
         seed += 1
 
 
-def phrase_counts(docs: DataFrame, often: DataFrame, seed: int, *, least: int) -> DataFrame:
+def phrase_counts(docs: DataFrame, counts: WordCounts, *, least: int) -> DataFrame:
     """(phrase, times): phrases of SHORTEST to LONGEST words, as arrays of codes, that stand ``least`` times or more in
-    ``docs`` (lang, text). ``often``: the words that do (code)."""
+    ``docs`` (lang, text)."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast
-    frequent = shared(_bits(often))
+    shared, seed, frequent = spark.sparkContext.broadcast, counts.seed, counts.frequent
     pairs = docs.mapInArrow(_pairs(seed, frequent), "code long, times long").groupBy("code").agg(F.sum("times").alias("times"))
     pairs = saved(pairs.where(F.col("times") >= least))
     total = pairs.agg(F.sum("times")).first()[0] or 0
     common, crowded = shared(_bits(pairs)), shared(_bits(pairs.where(F.col("times") >= TASK_SUFFIXES)))
-    schema = ", ".join(f"{c} long" for c in [*_SUFFIX, "times"]) + ", split boolean, route long"
+    schema = ", ".join(f"{c} long" for c in [*_SUFFIX, "times"]) + ", split boolean"
     suffixes = docs.mapInArrow(_suffixes(seed, frequent, common, crowded), schema)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_SUFFIXES))
-    sorted_ = suffixes.repartition(tasks, "route").mapInArrow(_sorted(least), "phrase array<long>, times long")
+    route = F.when(F.col("split"), F.xxhash64(*_SUFFIX)).otherwise(F.xxhash64(*_SUFFIX[:SHORTEST]))
+    sorted_ = suffixes.repartition(tasks, route).mapInArrow(_sorted(least), "phrase array<long>, times long")
     return saved(sorted_.groupBy("phrase").agg(F.sum("times").alias("times")).where(F.col("times") >= least))
 
 
@@ -316,7 +365,7 @@ def collocations(docs: DataFrame, *, least: int = LEAST, top: int = TOP) -> Data
     phrase of SHORTEST to LONGEST words in a piece that stands ``least`` times is a candidate; its score is the least of
     floor(1000 a n / (l r)) over its cuts in two. Candidates inside a longer one that stands as often are left out.
 
-    1. Words are counted; each has a code of 64 bits, and another seed is taken if two words have one.
+    1. Words are counted by a code of 64 bits; another seed is taken if two words, one of them frequent, have the same.
     2. Pairs of frequent words are counted. What is frequent goes to the tasks as filters of 2^FILTER_BITS bits.
     3. Suffixes of up to LONGEST words that begin with a frequent pair are aggregated where they are read, and dealt out
        by their leading pair; a pair of TASK_SUFFIXES occurrences or more is dealt out by the whole suffix.
@@ -328,10 +377,9 @@ def collocations(docs: DataFrame, *, least: int = LEAST, top: int = TOP) -> Data
     looked at; an empty table gives an empty result.
     """
     texts = docs.select("lang", "text")
-    counts, seed = word_counts(texts)
-    ones = saved(counts.where(F.col("times") >= least))
-    totals = saved(counts.groupBy("lang").agg(F.sum("times").alias("n")))
-    phrases = phrase_counts(texts, ones, seed, least=least)
+    counts = word_counts(texts, least=least)
+    ones, totals = counts.words, counts.totals
+    phrases = phrase_counts(texts, counts, least=least)
     kept = not_inside(phrases).select("phrase")
     best = spelled(scored(phrases, ones, totals).join(kept, "phrase", "left_semi"), ones)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
