@@ -12,7 +12,9 @@ from polyglint.llm.storage import saved
 
 N_SHARDS = 8
 #: Most rounds of label propagation.
-ROUNDS = 12
+ROUNDS = 16
+#: A shard with less than 1 / LEAST_ROOM of its quota left draws nobody; unlinked documents fill it in the end.
+LEAST_ROOM = 20
 
 
 def quotas(total: int, n_shards: int) -> list[int]:
@@ -31,7 +33,10 @@ def _votes(members: DataFrame, n_shards: int, total: int) -> DataFrame:
     heard = met(each, of_node, ["node"], "n", total)
     sums = F.array(*[F.sum(F.col("votes")[s]) for s in range(n_shards)])
     own = [F.collect_list("node").alias("nodes"), F.min("node").alias("low"), F.max("n").alias("most"), sums.alias("votes")]
-    return heard.groupBy("id", "by", "shard").agg(*own)
+    summed = heard.groupBy("id", "by", "shard").agg(*own)
+    # a document is in all its nodes, but has one vote
+    once = F.transform("votes", lambda v, s: F.when(s == F.col("shard"), v - F.size("nodes") + 1).otherwise(v))
+    return summed.withColumn("votes", once)
 
 
 def _favourite(open_shards: list[int]) -> Column:
@@ -49,25 +54,37 @@ def _unit(*columns) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) / float(1 << 40)
 
 
+def _shares(flow: dict, room: list[int], exchange: bool) -> list[float]:
+    """For each pair of shards, the part of those who want to go from one to the other that may."""
+    n = len(room)
+    coming = [sum(flow.get((s, t), 0) for s in range(n)) for t in range(n)]
+    allowed = lambda s, t: min(flow.get((s, t), 0), flow.get((t, s), 0)) / flow.get((s, t), 1) if exchange else min(1.0, room[t] / max(1, coming[t]))
+    return [allowed(s, t) for s in range(n) for t in range(n)]
+
+
 def propagated(members: DataFrame, room_of: list[int], *, rounds: int, total: int) -> DataFrame:
     """(id, by, shard, low, votes) after label propagation of ``members`` (id, by, shard, nodes).
 
-    In a round each document wants the shard that holds most of its neighbours, among those with room. As many go as
-    there is room for: where more want to come, a part of the nodes (of a large node, of its members), taken by a hash,
-    goes. It ends when nobody wants to move or there is no room.
+    In a round each document wants the shard that holds most of its neighbours. In every other one it looks at shards
+    with room only, and as many go as there is room for; in those between, at all shards, and as many go from one to
+    another as come the other way. Where more want to, a part of the nodes (of a large node, of its members), taken by a
+    hash, goes. It ends when nobody could move in two rounds.
     """
-    n_shards = len(room_of)
+    n_shards, idle = len(room_of), 0
     for turn in range(rounds + 1):
         heard = saved(_votes(members, n_shards, total))
         held = {r["shard"]: r["n"] for r in heard.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
         room = [max(0, most - held.get(s, 0)) for s, most in enumerate(room_of)]
-        wants = heard.withColumn("to", _favourite([s for s in range(n_shards) if room[s]]))
-        coming = {r["to"]: r["n"] for r in wants.where("to <> shard").groupBy("to").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if turn == rounds or not coming:
+        exchange = turn % 2 == 1
+        wants = heard.withColumn("to", _favourite([s for s in range(n_shards) if exchange or room[s] * LEAST_ROOM >= max(room_of[s], LEAST_ROOM)]))
+        moves = wants.where("to <> shard").groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n"))
+        shares = _shares(flow := {(r["shard"], r["to"]): r["n"] for r in moves.collect()}, room, exchange)
+        idle = 0 if any(shares[s * n_shards + t] for s, t in flow) else idle + 1
+        if turn == rounds or idle == 2:
             break
-        shares = F.array(*[F.lit(min(1.0, room[s] / coming[s]) if coming.get(s) else 0.0) for s in range(n_shards)])
+        share = F.element_at(F.array(*map(F.lit, shares)), F.col("shard") * n_shards + F.col("to") + 1)
         one = F.when(F.col("most") * LARGE_PART > total, _unit("id", F.lit(turn))).otherwise(_unit("low", F.lit(turn)))
-        members = wants.select("id", "by", F.when(one < shares[F.col("to")], F.col("to")).otherwise(F.col("shard")).alias("shard"), "nodes")
+        members = wants.select("id", "by", F.when(one < share, F.col("to")).otherwise(F.col("shard")).alias("shard"), "nodes")
     return heard.select("id", "by", "shard", "low", "votes")
 
 
