@@ -166,7 +166,7 @@ def _double_quoted(text: Column) -> Column:
         out = F.replace(out, F.lit(raw), F.lit(escaped))
     spelled = F.array_join(
         F.transform(
-            F.split(out, "(?<=.)(?=.)"),
+            F.split(out, "(?s)(?<=.)(?=.)"),
             lambda c: F.when(c.rlike(r"\p{Cc}"), F.concat(F.lit("\\x"), F.lpad(F.lower(F.hex(F.ascii(c))), 2, "0"))).otherwise(c),
         ),
         "",

@@ -85,7 +85,7 @@ def test_canonical_document_and_plan(spark, small):
         "  days:\n  - Mon\n  - Tue\n  flag: true\n  float: 1.5\n  nilv:\n  num: 5\n  pears:\n    one: One\n    other: \"%{count}\"\n  secret:\n    token: x\n  zeta: Z\n"
     )
     before = spark.createDataFrame([("p", p, d if "ru" not in p else d + "x") for p, d in docs.items() if "de" not in p], "project string, path string, doc string")
-    plan = T.write_plan(D.canonical_documents(tr), before, tr)
+    plan = T.write_plan(tr, before, tr)
     assert {(r["path"][-6:], r["action"]) for r in plan.collect()} == {("de.yml", "create"), ("ru.yml", "update")}
     nested = spark.createDataFrame([("p", "en", "x.yml", ["k"], "seq", '[{"name":"Ada: x","age":36},[1],null,{},"- y"]')], "project string, locale string, path string, segments array<string>, value_type string, value string")
     assert D.canonical_documents(nested).first()["doc"] == "---\nen:\n  k:\n  - name: 'Ada: x'\n    age: 36\n  - [1]\n  -\n  - {}\n  - \"- y\"\n"

@@ -258,7 +258,7 @@ _PLAN = f"""(SELECT coalesce(a.project, s.project) AS project, coalesce(a.path,
 
 def _plan(spark, sf):
     routed = _routed(spark, sf).where("destination is not null")
-    return T.write_plan(D.canonical_documents(T.to_write(routed)), W.stored_docs(spark, sf), W.own_catalog(spark, sf))
+    return T.write_plan(T.to_write(routed), W.stored_docs(spark, sf), W.own_catalog(spark, sf))
 
 
 @query("J15_write_plan", f"SELECT project, path, locale, n_keys, action FROM {_PLAN} WHERE action IS NOT NULL")
