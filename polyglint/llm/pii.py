@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyglint.llm.storage import saved
+from polyglint.llm.storage import saved, stable
 
 #: Fixed patterns. Quantifiers are possessive and beginnings guarded where that changes no match, so that no text takes
 #: more than linear time. ``\G`` lets a match begin where the one before ended.
@@ -30,7 +30,11 @@ DISCLOSURE = 0.9
 SMOOTHING = 0.5
 #: Digits of a card or phone number that make its class.
 _DIGITS = 6
+#: Terms are words of three letters or more: shorter ones stand in most documents and in all languages.
 _TERM = r"\p{L}{3,}+"
+#: A filter of words or rows has 2^CELL_BITS cells of 64 bits. It bounds what is broadcast; when it fills up, more rows are
+#: moved, and nothing else changes.
+CELL_BITS = 18
 
 
 def _valid(kind: Column, match: Column) -> Column:
@@ -58,7 +62,7 @@ def _matches(lines: DataFrame, kind: str, pattern: str | Column) -> DataFrame:
 
 def numbered(docs: DataFrame) -> DataFrame:
     """doc_id, text (null as empty) and a number for each row."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    return stable(docs.select("doc_id", "text")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
 
 
 def contexts(rows: DataFrame) -> DataFrame:
@@ -77,17 +81,30 @@ def base_spans(lines: DataFrame) -> DataFrame:
     return found.where(_valid(F.col("kind"), F.col("match")))
 
 
-def document_terms(rows: DataFrame) -> DataFrame:
-    """(row, form) for the distinct words of each row, as they are written."""
+def among(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose ``key`` is in ``wanted`` (a table of one column of that name), and a few more: rows are held
+    to a filter where they stand, so that few are moved by the join that follows."""
+    code, columns = F.xxhash64(key), rows.columns
+    cell, bit = F.shiftrightunsigned("_code", 64 - CELL_BITS).alias("_cell"), F.expr("shiftleft(1L, cast(_code & 63 AS int))").alias("_bit")
+    cells = wanted.select(code.alias("_code")).select(cell, bit).groupBy("_cell").agg(F.bit_or("_bit").alias("_bits"))
+    coded = rows.withColumn("_code", code).select(*columns, cell, bit)
+    return coded.join(F.broadcast(cells), "_cell").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(columns)
+
+
+def document_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(row, form, term) for those distinct words of each row, as they are written, whose lower-case form is in ``terms``
+    (term)."""
     forms = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(_TERM), F.lit(0)))
-    return rows.select("row", F.explode(forms).alias("form"))
+    each = rows.select("row", F.explode(forms).alias("form")).withColumn("term", F.lower("form"))
+    return among(each, "term", terms).join(terms, "term", "left_semi")
 
 
-def document_frequencies(rows: DataFrame) -> DataFrame:
-    """(term, in_documents) over all rows."""
+def document_frequencies(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, in_documents) of ``terms`` (term) over all rows."""
     forms = F.regexp_extract_all(F.col("text"), F.lit(_TERM), F.lit(0))
-    terms = F.array_distinct(F.transform(forms, lambda w: F.lower(w)))
-    return rows.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("in_documents"))
+    own = F.array_distinct(F.transform(forms, lambda w: F.lower(w)))
+    each = among(rows.select(F.explode(own).alias("term")), "term", terms)
+    return each.groupBy("term").agg(F.count(F.lit(1)).alias("in_documents"))
 
 
 _CLASS = ["kind", "level", "class"]
@@ -128,21 +145,23 @@ def disclosing_terms(rows: DataFrame, terms: DataFrame, entities: DataFrame, *,
     holds = saved(of.drop("line_no").distinct())
     by_class = holds.groupBy(_CLASS).agg(F.count(F.lit(1)).alias("n_c"))
     near = saved(terms.select("row", "line_no", "term").distinct().join(of, ["row", "line_no"]).select(*_CLASS, "term").distinct())
-    counted = near.join(by_class, _CLASS).join(document_frequencies(rows), "term").join(F.broadcast(total))
+    frequencies = saved(document_frequencies(rows, near.select("term").distinct()))
+    counted = near.join(by_class, _CLASS).join(frequencies, "term").join(F.broadcast(total))
     possible = saved(counted.where(_discloses(F.least("n_c", "in_documents"), disclosure)))
-    present = document_terms(rows.join(holds.select("row").distinct(), "row", "left_semi")).select("row", F.lower("form").alias("term")).distinct()
-    present = saved(present.join(saved(possible.select("term").distinct()), "term", "left_semi"))
+    # rows without an entity go in the join on row; those that cannot have one are not looked at
+    some = rows.where(F.col("text").rlike(_SOME))
+    present = saved(document_terms(some, saved(possible.select("term").distinct())).select("row", "term").distinct())
     both = present.join(holds, "row").groupBy(*_CLASS, "term").agg(F.count(F.lit(1)).alias("n_ct"))
     return possible.join(both, [*_CLASS, "term"]).where(_discloses(F.col("n_ct"), disclosure)).select(*_CLASS, "term")
 
 
 def occurrences(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """Every occurrence of ``terms`` (term) in ``rows``, as spans of kind ``term``."""
-    forms = document_terms(rows).withColumn("term", F.lower("form")).join(terms, "term")
+    forms = document_terms(rows, terms)
     # the words are letters only, so they stand in a pattern as they are
     pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.sort_array(F.collect_list("form")), "|"), F.lit(r")(?!\p{L})"))
     held = saved(forms.groupBy("row").agg(pattern.alias("pattern")))
-    lines = rows.join(held, "row").select("row", "doc_id", F.lit(0).alias("line_no"), F.lit(0).cast("long").alias("offset"), F.col("text").alias("line"), "pattern")
+    lines = among(rows, "row", held.select("row")).join(held, "row").select("row", "doc_id", F.lit(0).alias("line_no"), F.lit(0).cast("long").alias("offset"), F.col("text").alias("line"), "pattern")
     return _matches(lines, "term", F.col("pattern"))
 
 
@@ -168,9 +187,7 @@ def spans(rows: DataFrame, *, disclosure: float = DISCLOSURE) -> DataFrame:
     entity = F.when(F.col("kind").isin("card", "phone"), F.regexp_replace("match", "[^0-9]", "")).otherwise(F.lower("match"))
     entities = base.select("row", "line_no", "kind", entity.alias("entity"))
     words = _matches(lines.join(base.select("row", "line_no").distinct(), ["row", "line_no"]), "term", _TERM)
-    taken = base.select("row", "line_no", F.col("start").alias("from"), F.col("end").alias("to"))
-    overlap = (words["row"] == taken["row"]) & (words["line_no"] == taken["line_no"]) & (words["start"] < taken["to"]) & (words["end"] > taken["from"])
-    terms = saved(words.join(taken, overlap, "left_anti").withColumn("term", F.lower("match")))
+    terms = saved(_outside(base, words).where("kind = 'term'").withColumn("term", F.lower("match")))
     reveal = saved(disclosing_terms(rows, terms, entities, disclosure=disclosure).select("term").distinct())
     columns = ["row", "doc_id", "kind", "start", "end"]
     return _outside(base.select(columns), occurrences(rows, reveal).select(columns))
@@ -205,6 +222,7 @@ def listed(found: Column) -> Column:
 def sanitised(docs: DataFrame, *, disclosure: float = DISCLOSURE) -> DataFrame:
     """``docs`` (doc_id, text) with each stretch of spans put as the kind of its first one in brackets: values are
     generalised to their kind, revealing terms to ``[TERM]``. Cases as in ``personal_data``; a null text stays null."""
+    docs = stable(docs.select("doc_id", "text"))
     rows = numbered(docs)
     by_row = Window.partitionBy("row").orderBy("start", "end")
     reach = F.max("end").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
