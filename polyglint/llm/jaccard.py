@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from polyglint.llm.components import components
+from polyglint.llm.placing import met
 from polyglint.llm.storage import saved
 from polyglint.llm.words import Prefix, chunks, mixed, words_of
 
@@ -60,11 +61,17 @@ def _signatures(sets: list[np.ndarray]) -> list[pa.Array]:
     return [pa.array(np.array(x, np.uint64).view(np.int64)) for x in sums]
 
 
+def _tags(signature: pa.Array) -> pa.Array:
+    """Half of a signature."""
+    return pa.array((signature.to_numpy() >> 32).astype(np.int32))
+
+
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text"):
         sets = _sets(batch.column("text"))
-        arrays = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *_signatures(sets)]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "sig1", "sig2"])
+        sums = _signatures(sets)
+        arrays = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *sums, _tags(sums[0])]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "sig1", "sig2", "tag"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,14 +102,14 @@ def prefix_length(n):
 
 
 def _incidence(docs: DataFrame, order: Order) -> DataFrame:
-    """Rows of the incidence that can begin a link: (gram, doc_id, n, place, common, sig1, sig2) for the rarest n-grams
-    of each document, with their place in its order and the signature of its set."""
+    """Rows of the incidence that can begin a link: (gram, doc_id, n, place, common, tag) for the rarest n-grams of each
+    document, with their place in its order and the ``tag`` of its set, which tells sets of one doc_id apart."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             ids, sets = batch.column("doc_id"), _sets(batch.column("text"))
-            sums = _signatures(sets)
+            tags = _tags(_signatures(sets)[0])
             grams = np.concatenate([np.zeros(0, np.uint64), *sets])
             sizes = np.array([len(s) for s in sets], np.int64)
             rows, levels = np.repeat(np.arange(len(sets)), sizes), shared.value.level(grams)
@@ -110,10 +117,10 @@ def _incidence(docs: DataFrame, order: Order) -> DataFrame:
             place = np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             early = place < prefix_length(sizes)[rows]
             keep = ranked[early]
-            arrays = [pa.array(grams[keep].view(np.int64)), ids.take(pa.array(rows[keep])), pa.array(sizes[rows[keep]]), pa.array(place[early].astype(np.int32)), pa.array(levels[keep] > 0), *(x.take(pa.array(rows[keep])) for x in sums)]
-            yield pa.RecordBatch.from_arrays(arrays, ["gram", "doc_id", "n", "place", "common", "sig1", "sig2"])
+            arrays = [pa.array(grams[keep].view(np.int64)), ids.take(pa.array(rows[keep])), pa.array(sizes[rows[keep]]), pa.array(place[early].astype(np.int32)), pa.array(levels[keep] > 0), tags.take(pa.array(rows[keep]))]
+            yield pa.RecordBatch.from_arrays(arrays, ["gram", "doc_id", "n", "place", "common", "tag"])
 
-    return docs.mapInArrow(run, "gram long, doc_id long, n long, place int, common boolean, sig1 long, sig2 long")
+    return docs.mapInArrow(run, "gram long, doc_id long, n long, place int, common boolean, tag int")
 
 
 def _fits(n_a: Column, n_b: Column) -> Column:
@@ -172,13 +179,15 @@ def similar_components(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select("doc_id", "text")
     known = texts.where("doc_id IS NOT NULL")
-    measured = saved(texts.mapInArrow(_measured, "doc_id long, n long, sig1 long, sig2 long"))
+    measured = saved(texts.mapInArrow(_measured, "doc_id long, n long, sig1 long, sig2 long, tag int"))
     filled = measured.where("n > 0 AND doc_id IS NOT NULL")
-    classes = filled.groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).where("keep < last")
-    copies = saved(filled.join(saved(classes), ["n", "sig1", "sig2"]).where("doc_id > keep").select("doc_id", "keep", "n", "sig1", "sig2").distinct())
+    signature = ["n", "sig1", "sig2"]
+    classes = filled.groupBy(*signature).agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("size")).where("keep < last")
+    copies = met(filled, saved(classes), signature, "size", measured.count())
+    copies = saved(copies.where("doc_id > keep").select("doc_id", "keep", "tag").distinct())
 
     rows = saved(_product_rows(_incidence(known, _order(known))))
-    rows = saved(rows.join(copies, ["doc_id", "n", "sig1", "sig2"], "left_anti").drop("sig1", "sig2"))
+    rows = saved(rows.join(copies.select("doc_id", "tag"), ["doc_id", "tag"], "left_anti").drop("tag"))
     first = F.min(F.struct("doc_id", "n")).alias("first")
     seldom = rows.where("NOT common").join(saved(rows.where("NOT common").groupBy("gram").agg(first)), "gram")
     often = rows.where("common").join(F.broadcast(rows.where("common").groupBy("gram").agg(first)), "gram")
