@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polyglint.llm.naming import named
-from polyglint.llm.storage import saved
+from polyglint.llm.storage import saved, stable
 
 #: Bytes of a block.
 BLOCK_BYTES = 1024
@@ -31,7 +31,7 @@ def exact_duplicates(docs: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> Data
     """
     bytes_ = F.encode("_text", "UTF-8")
     n_blocks = F.greatest(F.lit(1), F.ceil(F.octet_length("_text") / F.lit(block_bytes))).cast("int")
-    texts = docs.select("doc_id", normalised(F.col("text")).alias("_text")).select(
+    texts = stable(docs.select("doc_id", "text")).select("doc_id", normalised(F.col("text")).alias("_text")).select(
         "doc_id",
         F.monotonically_increasing_id().alias("row"),
         F.unhex(F.sha2("_text", 256)).alias("sha"),

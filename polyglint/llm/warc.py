@@ -13,7 +13,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyglint.llm.storage import shared_folder
+from polyglint.llm.storage import shared_folder, stable
 
 #: Bytes of an archive that a reading task scans for members starting in them.
 SPLIT_BYTES = 8 << 20
@@ -77,7 +77,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     Payloads are compared by SHA-256. The groups are aggregated on the map side, so only a pair per page and task moves;
     the join back is one that Spark splits where a group is large.
     """
-    rows = pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("row"))
+    rows = stable(pages.select("page_id", "url", "html")).select("*", F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumn("payload_key", F.unhex(F.sha2(F.coalesce(F.col("html"), F.lit("")), 256)))
     order = F.struct(F.col("page_id").isNotNull().alias("known"), F.col("page_id").alias("page_id"), F.col("row").alias("row"))
     groups = rows.groupBy("payload_key").agg(F.max(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
