@@ -27,6 +27,8 @@ NO_LANG = "und"
 FILTER_BITS = 26
 #: Suffixes that one task sorts. Leading pairs of more occurrences are dealt out by the whole suffix.
 TASK_SUFFIXES = 1 << 20
+#: Parts for each task that sorts, so that tasks get about as much.
+PARTS_OF_TASK = 4
 #: Bytes of text that are worked on at once, and suffixes that a task puts together before they are moved.
 _CHUNK, _HELD = 1 << 20, 1 << 20
 
@@ -182,9 +184,11 @@ def _pairs(seed: int, frequent):
 _SUFFIX = [f"w{i}" for i in range(1, LONGEST + 1)]
 
 
-def _suffixes(seed: int, frequent, pairs, crowded):
+def _suffixes(seed: int, frequent, pairs, crowded, parts: int):
     """The suffixes that begin with a frequent pair, each cut where a pair is not frequent: w1 to w5 (0 behind the end),
-    times, split. Equal ones are put together over so many batches as a task can hold."""
+    times, split. Equal ones are put together over so many batches as a task can hold, and travel in blocks: a row is a
+    task's suffixes for one of ``parts``, as lists. The part follows from the leading pair, or from the whole suffix where
+    so many begin with the pair that they are split."""
 
     def columns_of(t: Tokens) -> list[np.ndarray]:
         joined = t.goes_on & frequent.value.has(t.codes)
@@ -201,10 +205,18 @@ def _suffixes(seed: int, frequent, pairs, crowded):
         first, kind = _distinct(columns)
         return [*(c[first] for c in columns), np.bincount(kind, times, len(first)).astype(np.int64)]
 
-    def rows(columns: list[np.ndarray]) -> pa.RecordBatch:
-        *words, times = columns
-        split = crowded.value.has(_pair_code(words[0], words[1]))
-        return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in words), pa.array(times), pa.array(split)], [*_SUFFIX, "times", "split"])
+    def blocks(columns: list[np.ndarray]) -> pa.RecordBatch:
+        *words, _ = columns
+        pair = _pair_code(words[0], words[1])
+        split, whole = crowded.value.has(pair), words[0]
+        for c in words[1:]:
+            whole = mixed(whole + c)
+        part = (np.where(split, whole, pair) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        heads = np.flatnonzero(np.diff(part[order], prepend=-1))
+        offsets = pa.array(np.append(heads, len(order)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(c[order].view(np.int64))) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(part[order][heads]), *lists, pa.ListArray.from_arrays(offsets, pa.array(split[order]))], ["part", *_SUFFIX, "times", "split"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -213,9 +225,9 @@ def _suffixes(seed: int, frequent, pairs, crowded):
             if sum(len(c[0]) for c in held) > _HELD:
                 held = [merged(held)]
                 if len(held[0][0]) > _HELD // 2:
-                    yield rows(held.pop())
+                    yield blocks(held.pop())
         if held:
-            yield rows(merged(held))
+            yield blocks(merged(held))
 
     return run
 
@@ -267,13 +279,16 @@ def equal_parts(words: np.ndarray, times: np.ndarray, split: np.ndarray, least:
 def _sorted(least: int):
     """Counts of the phrases of a task's suffixes: (phrase, times)."""
 
+    def flat(table: pa.Table, column: str) -> np.ndarray:
+        return table.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = [b for b in batches if b.num_rows]
         if not filled:
             return
         table = pa.Table.from_batches(filled)
-        words = np.column_stack([table.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in _SUFFIX])
-        at, depth, total = equal_parts(words, table.column("times").to_numpy(), table.column("split").to_numpy(), least)
+        words, times, split = np.column_stack([flat(table, c).view(np.uint64) for c in _SUFFIX]), flat(table, "times"), flat(table, "split")
+        at, depth, total = equal_parts(words, times, split, least)
         inside = np.arange(words.shape[1]) < depth[:, None]
         lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(depth)]).astype(np.int32), words[at][inside].view(np.int64))
         yield pa.RecordBatch.from_arrays([lists, pa.array(total.astype(np.int64))], ["phrase", "times"])
@@ -316,11 +331,10 @@ def phrase_counts(docs: DataFrame, counts: WordCounts, *, least: int) -> DataFra
     pairs = saved(pairs.where(F.col("times") >= least))
     total = pairs.agg(F.sum("times")).first()[0] or 0
     common, crowded = shared(_bits(pairs)), shared(_bits(pairs.where(F.col("times") >= TASK_SUFFIXES)))
-    schema = ", ".join(f"{c} long" for c in [*_SUFFIX, "times"]) + ", split boolean"
-    suffixes = docs.mapInArrow(_suffixes(seed, frequent, common, crowded), schema)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_SUFFIXES))
-    route = F.when(F.col("split"), F.xxhash64(*_SUFFIX)).otherwise(F.xxhash64(*_SUFFIX[:SHORTEST]))
-    sorted_ = suffixes.repartition(tasks, route).mapInArrow(_sorted(least), "phrase array<long>, times long")
+    schema = ", ".join(["part int", *(f"{c} array<long>" for c in [*_SUFFIX, "times"]), "split array<boolean>"])
+    suffixes = docs.mapInArrow(_suffixes(seed, frequent, common, crowded, PARTS_OF_TASK * tasks), schema)
+    sorted_ = suffixes.repartition(tasks, "part").mapInArrow(_sorted(least), "phrase array<long>, times long")
     return saved(sorted_.groupBy("phrase").agg(F.sum("times").alias("times")).where(F.col("times") >= least))
 
 
