@@ -87,11 +87,14 @@ def target_template(target) -> Column:
     return F.array_join(made, "")
 
 
+def with_locale(path, locale) -> Column:
+    """A path made from a prepared target, with the locale in its place."""
+    return F.replace(_col(path), F.lit(_LOCALE_SLOT), _col(locale))
+
+
 def fill_template(template, locale, key, regex) -> Column:
     """The path a prepared target gives for a key its pattern (``pattern_regex``) matches."""
-    escaped = F.regexp_replace(_col(locale), r"([\\$0-9])", r"\\$1")
-    filled = F.replace(_col(template), F.lit(_LOCALE_SLOT), escaped)
-    return F.regexp_replace(_col(key), _col(regex), filled)
+    return with_locale(F.regexp_replace(_col(key), _col(regex), _col(template)), locale)
 
 
 _READ_TOKEN = r"(?s)(%\{locale\}|\*+|[./\\]|.)"
