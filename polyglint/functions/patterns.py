@@ -153,6 +153,28 @@ def unmatched(df: DataFrame, patterns: DataFrame, key: str = "key", locale: str
     return df
 
 
+def any_of(patterns: list[tuple], key: str = "key", locale: str | None = None) -> Column:
+    """Whether one of a short list of ``patterns`` (project, regex, locale group) matches the key, as literal expressions:
+    a project's regexes of one group are one alternation, and projects with the same list share it."""
+    lists: dict[str, dict] = {}
+    for project, regex, group in sorted(patterns, key=lambda p: (p[0], p[1], p[2] or "")):
+        group = None if group == "all" else group
+        if group is None or locale is not None:
+            lists.setdefault(project, {}).setdefault(group, set()).add(regex)
+    projects: dict[tuple, list[str]] = {}
+    for project, groups in lists.items():
+        own = tuple((g, tuple(sorted(groups[g]))) for g in sorted(groups, key=lambda g: (g is not None, g)))
+        projects.setdefault(own, []).append(project)
+    found = F.when(F.lit(False), F.lit(False))
+    for own, names in projects.items():
+        hit = F.lit(False)
+        for group, regexes in own:
+            one = F.col(key).rlike("|".join(f"(?:{r})" for r in regexes))
+            hit = hit | (one if group is None else (F.col(locale) == group) & one)
+        found = found.when(F.col("project").isin(names), hit)
+    return F.coalesce(found, F.lit(False))
+
+
 def _anchored(df: DataFrame, filed: DataFrame, key: str):
     """Both sides of one join that looks a key up under each of its three anchors."""
     k = F.col(key)

@@ -158,6 +158,35 @@ def internal(tr: DataFrame) -> DataFrame:
     return tr.where(~F.col("external"))
 
 
+class CatalogView:
+    """What checks read of a catalog, made from its rows whenever it is asked for."""
+
+    def __init__(self, tr: DataFrame):
+        self._tr = tr
+
+    def leaves(self) -> DataFrame:
+        """Internal leaves."""
+        return internal(self._tr)
+
+    def folded(self) -> DataFrame:
+        """Internal leaves with ``dep_key``, ``plural_parent`` and ``n_children``."""
+        return depluralized_leaves(self.leaves())
+
+    def plurals(self) -> DataFrame:
+        return plural_nodes(self.leaves())
+
+    def present(self) -> DataFrame:
+        """(project, locale, key) of leaves and sections, external ones included."""
+        return present_keys(self._tr)
+
+    def external(self) -> DataFrame:
+        return present_keys(self._tr.where("external"))
+
+
+def view(tr: DataFrame | CatalogView) -> CatalogView:
+    return tr if isinstance(tr, CatalogView) else CatalogView(tr)
+
+
 # --- ancestry ------------------------------------------------------------------------
 
 

@@ -87,11 +87,11 @@ def _others(locales: DataFrame) -> DataFrame:
 
 def present(keys: DataFrame, tr: DataFrame) -> DataFrame:
     """Rows whose key is a leaf or an interior node of the locale or of the external catalog."""
-    return keys.join(C.present_keys(tr), ["project", "locale", "key"], "left_semi")
+    return keys.join(C.view(tr).present(), ["project", "locale", "key"], "left_semi")
 
 
 def absent(keys: DataFrame, tr: DataFrame, key: str = "key") -> DataFrame:
-    return keys.join(C.present_keys(tr).withColumnRenamed("key", key), ["project", "locale", key], "left_anti")
+    return keys.join(C.view(tr).present().withColumnRenamed("key", key), ["project", "locale", key], "left_anti")
 
 
 # --- missing -------------------------------------------------------------------------
@@ -103,16 +103,15 @@ def missing_used(occ: DataFrame, tr: DataFrame, rules: DataFrame | None, locales
     A key is reported when no candidate of any of its occurrences is present or ignored, so
     occurrences reduce to distinct candidates before locales come in.
     """
-    keys = U.keys_of(occ)
-    candidates = F.when(F.size("candidate_keys") > 0, F.col("candidate_keys")).otherwise(F.array("key"))
-    pairs = keys.select("project", "key", F.explode(candidates).alias("candidate")).distinct()
-    found = pairs.join(C.present_keys(tr).withColumnRenamed("key", "candidate"), ["project", "candidate"]).select("project", "locale", "key")
+    usage = U.view(occ)
+    pairs = usage.candidates()
+    found = pairs.join(C.view(tr).present().withColumnRenamed("key", "candidate"), ["project", "candidate"]).select("project", "locale", "key")
     if rules is not None:
         found = found.unionByName(R.ignored_in(pairs, rules, "missing", locales, "candidate").select("project", "locale", "key"))
-    asked = keys.select("project", "key").distinct().join(locales.select("project", "locale"), "project")
+    asked = usage.used().join(locales.select("project", "locale"), "project")
     missing = asked.join(found, ["project", "locale", "key"], "left_anti").select("project", "locale", "key")
     # The first occurrence is looked up for missing keys only: one of text needs a sort.
-    places = keys.select("project", "key", "path", "pos", F.col("line_num").alias("line"))
+    places = usage.places()
     first = F.min_by(F.struct("path", "line"), F.struct("path", "pos"))
     rows = missing.join(places, ["project", "key"]).groupBy("project", "locale", "key").agg(first.alias("first"))
     return as_findings(rows.select("project", "locale", "key", "first.*"), "missing", "used")
@@ -129,7 +128,7 @@ def _compared(tr: DataFrame, leaves: DataFrame, locales: DataFrame, selected: Da
 
 
 def _source_leaves(tr: DataFrame) -> DataFrame:
-    return C.depluralized_leaves(C.internal(tr)).withColumnRenamed("locale", "present_in")
+    return C.view(tr).folded().withColumnRenamed("locale", "present_in")
 
 
 def diff_leaves(tr: DataFrame, rules: DataFrame | None, locales: DataFrame, selected: DataFrame | None = None) -> DataFrame:
@@ -158,7 +157,7 @@ def missing_diff(tr: DataFrame, rules: DataFrame | None, locales: DataFrame, sel
 
 def missing_plural(tr: DataFrame, dim: DataFrame, rules: DataFrame | None, locales: DataFrame) -> DataFrame:
     """Plural nodes short of a category their locale needs."""
-    nodes = C.plural_nodes(C.internal(tr)).select("project", "locale", "key", "forms")
+    nodes = C.view(tr).plurals().select("project", "locale", "key", "forms")
     short = (
         nodes.join(C.required_categories(locales, dim), ["project", "locale"])
         .withColumn("missing", category_difference("categories", "forms"))
@@ -203,14 +202,13 @@ def unused_leaves(tr: DataFrame, occ: DataFrame, rules: DataFrame | None, locale
     Ignore rules, usage patterns and the external catalog look at the raw key, usage at the
     depluralized one.
     """
-    leaves = C.internal(tr).join(locales.select("project", "locale"), ["project", "locale"], "left_semi")
-    plurals = C.plural_nodes(leaves)
+    catalog = C.view(tr)
+    leaves = catalog.folded().join(locales.select("project", "locale"), ["project", "locale"], "left_semi")
     # used keys go first, by an equi-join that leaves little for the joins on patterns; the tests commute
-    rest = U.without_used(C.depluralized_leaves(leaves, plurals), occ, "dep_key")
+    rest = U.without_used(leaves, occ, "dep_key")
     rest = R.without_ignored(rest, rules, "unused")
     rest = U.without_used_by_pattern(rest, occ)
-    external = C.present_keys(tr.where("external"))
-    return rest.join(external, ["project", "locale", "key"], "left_anti")
+    return rest.join(catalog.external(), ["project", "locale", "key"], "left_anti")
 
 
 def collapse_plurals(placed: DataFrame) -> DataFrame:
@@ -259,7 +257,7 @@ def _comparable(value_type: str, value: str):
 
 def _beside_base(tr: DataFrame, locales: DataFrame) -> DataFrame:
     """Each leaf of another locale next to the base leaf of the same key."""
-    leaves = C.internal(tr).select("project", "locale", "key", "value_type", "value")
+    leaves = C.view(tr).leaves().select("project", "locale", "key", "value_type", "value")
     base = (
         leaves.join(_base(locales), ["project", "locale"], "left_semi")
         .select("project", "key", F.col("value_type").alias("base_type"), F.col("value").alias("base_value"))
@@ -293,7 +291,7 @@ def placeholder_set_equal(a, b):
 
 def reserved_placeholders(tr: DataFrame, locales: DataFrame) -> DataFrame:
     rows = (
-        C.internal(tr)
+        C.view(tr).leaves()
         .where(F.col("value_type") == "str")
         .where(F.col("value").contains("%{"))
         .join(locales.select("project", "locale"), ["project", "locale"], "left_semi")

@@ -5,7 +5,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from polyglint.functions import patterns as M
@@ -20,6 +22,33 @@ KIND_OF_SETTING = {
 KINDS = list(KIND_OF_SETTING.values())
 
 
+#: Rules up to this number become literal expressions of the plan; more are a table that keys are joined with.
+LITERAL_RULES = 500
+
+
+class ListedRules(NamedTuple):
+    """A short configuration, read once: rows of project, setting, locale_group, regex."""
+
+    rows: list[Row]
+
+    def of_kind(self, kind: str) -> list[tuple]:
+        return [(r["project"], r["regex"], r["locale_group"]) for r in self.rows if r["setting"] in _settings(kind)]
+
+
+def listed(rules: DataFrame | ListedRules | None) -> DataFrame | ListedRules | None:
+    """``rules`` as a list if they are few: one small action. Functions that take rules take either form, so a caller of
+    several of them lists the rules once."""
+    if not isinstance(rules, DataFrame):
+        return rules
+    prepared = rules.where("project IS NOT NULL AND pattern IS NOT NULL").select("project", "setting", "locale_group", M.match_regex("pattern").alias("regex"))
+    rows = prepared.limit(LITERAL_RULES + 1).collect()
+    return ListedRules(rows) if len(rows) <= LITERAL_RULES else rules
+
+
+def _settings(kind: str) -> list[str]:
+    return ["ignore"] + [s for s, k in KIND_OF_SETTING.items() if k == kind]
+
+
 def rule_rows(config: DataFrame) -> DataFrame:
     """Split locale groups such as ``fr, es`` into one row per locale; plain lists keep null.
 
@@ -38,23 +67,35 @@ def merge_rules(rules: DataFrame) -> DataFrame:
 
 
 def _of_kind(rules: DataFrame, kind: str) -> DataFrame:
-    settings = ["ignore"] + [s for s, k in KIND_OF_SETTING.items() if k == kind]
-    return rules.where(F.col("setting").isin(settings)).select("project", "pattern", "locale_group")
+    return rules.where(F.col("setting").isin(_settings(kind))).select("project", "pattern", "locale_group")
 
 
-def without_ignored(df: DataFrame, rules: DataFrame | None, kind: str, key: str = "key", locale: str | None = None) -> DataFrame:
+def without_ignored(df: DataFrame, rules: DataFrame | ListedRules | None, kind: str, key: str = "key", locale: str | None = None) -> DataFrame:
     """Drop rows an ignore pattern of the kind matches. With no locale only plain lists and
     ``all`` groups apply."""
-    return df if rules is None else M.unmatched(df, _of_kind(rules, kind), key, locale)
+    rules = listed(rules)
+    if rules is None:
+        return df
+    if isinstance(rules, ListedRules):
+        return df.where(~M.any_of(rules.of_kind(kind), key, locale))
+    return M.unmatched(df, _of_kind(rules, kind), key, locale)
 
 
-def ignored_in(keys: DataFrame, rules: DataFrame, kind: str, locales: DataFrame, key: str = "key") -> DataFrame:
+def ignored_in(keys: DataFrame, rules: DataFrame | ListedRules, kind: str, locales: DataFrame, key: str = "key") -> DataFrame:
     """(columns of ``keys``, locale) for every locale whose rules of the kind match. The regexes run
     once per key, not once per key and locale."""
-    named = _of_kind(rules, kind).select(F.col("project").alias("p_project"), F.col("pattern").alias("p_pattern"), F.col("locale_group").alias("p_group"))
-    hits = M.matching_pairs(keys, named, key).select(*keys.columns, "p_group").distinct()
+    rules = listed(rules)
+    if isinstance(rules, ListedRules):
+        own = [(p, r, None if g == "all" else g) for p, r, g in rules.of_kind(kind)]
+        groups = sorted({g for _, _, g in own}, key=lambda g: g or "")
+        hit = [F.when(M.any_of([(p, r, None) for p, r, g in own if g == group], key), F.lit(group or "all")) for group in groups]
+        found = F.filter(F.array(*hit), lambda g: g.isNotNull()) if hit else F.array().cast("array<string>")
+        hits = keys.select("*", F.explode(found).alias("p_group"))
+    else:
+        named = _of_kind(rules, kind).select(F.col("project").alias("p_project"), F.col("pattern").alias("p_pattern"), F.col("locale_group").alias("p_group"))
+        hits = M.matching_pairs(keys, named, key).select(*keys.columns, "p_group").distinct()
     wide = F.col("p_group").isNull() | (F.col("p_group") == "all")
-    return hits.join(locales.select("project", "locale"), "project").where(wide | (F.col("p_group") == F.col("locale"))).select(*keys.columns, "locale")
+    return hits.join(locales.select("project", "locale"), "project").where(wide | (F.col("p_group") == F.col("locale"))).select(*keys.columns, "locale").distinct()
 
 
 def stale_rules(rules: DataFrame, findings: DataFrame) -> DataFrame:

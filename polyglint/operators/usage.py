@@ -16,6 +16,33 @@ def keys_of(occ: DataFrame) -> DataFrame:
     return occ.where(F.col("kind") == "key")
 
 
+class UsageView:
+    """What checks read of the usage, made from its rows whenever it is asked for."""
+
+    def __init__(self, occ: DataFrame):
+        self._occ = occ
+
+    def used(self) -> DataFrame:
+        """The distinct (project, key)."""
+        return keys_of(self._occ).select("project", "key").distinct()
+
+    def candidates(self) -> DataFrame:
+        """The distinct (project, key, candidate): what a call may name."""
+        named = F.when(F.size("candidate_keys") > 0, F.col("candidate_keys")).otherwise(F.array("key"))
+        return keys_of(self._occ).select("project", "key", F.explode(named).alias("candidate")).distinct()
+
+    def places(self) -> DataFrame:
+        """(project, key, path, pos, line): calls, every one that is first for its key among them."""
+        return keys_of(self._occ).select("project", "key", "path", "pos", F.col("line_num").alias("line"))
+
+    def patterns(self) -> DataFrame:
+        return pattern_set(self._occ)
+
+
+def view(occ: DataFrame | UsageView) -> UsageView:
+    return occ if isinstance(occ, UsageView) else UsageView(occ)
+
+
 def used_keys(occ: DataFrame) -> DataFrame:
     """Per key: how often and where first. Occurrences stay rows (see ``occurrence_listing``):
     a key called everywhere is never gathered into one list."""
@@ -59,14 +86,14 @@ def _under_used_section(wanted: DataFrame, used: DataFrame) -> DataFrame:
     return probes.join(sections, ["project", "prefix", "salt"], "left_semi").select("project", "key")
 
 
-def without_used(leaves: DataFrame, occ: DataFrame, key: str = "key") -> DataFrame:
+def without_used(leaves: DataFrame, occ: DataFrame | UsageView, key: str = "key") -> DataFrame:
     """Leaves, one per (project, locale, key), whose ``key`` column is neither used nor below a
     used key.
 
     The equi-join on the whole key goes first and leaves the prefix walk only the rest. The
     walk is one salted left join and one aggregate, so the rest is read once.
     """
-    used = keys_of(occ).select("project", F.col("key").alias(key)).distinct()
+    used = view(occ).used().withColumnRenamed("key", key)
     rest = leaves.join(used, ["project", key], "left_anti")
     columns = rest.columns
     probes = rest.withColumn("_prefix", F.explode_outer(K.proper_ancestors(key))).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(M.SALT)).cast("int"))
@@ -89,8 +116,8 @@ def used_by_pattern(keys: DataFrame, occ: DataFrame, key: str = "key") -> DataFr
     return M.matched(keys, pattern_set(occ), key)
 
 
-def without_used_by_pattern(keys: DataFrame, occ: DataFrame, key: str = "key") -> DataFrame:
-    return M.unmatched(keys, pattern_set(occ), key)
+def without_used_by_pattern(keys: DataFrame, occ: DataFrame | UsageView, key: str = "key") -> DataFrame:
+    return M.unmatched(keys, view(occ).patterns(), key)
 
 
 def scan_counts(files: DataFrame) -> DataFrame:
