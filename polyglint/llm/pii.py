@@ -96,7 +96,8 @@ def document_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
     (term)."""
     forms = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(_TERM), F.lit(0)))
     each = rows.select("row", F.explode(forms).alias("form")).withColumn("term", F.lower("form"))
-    return among(each, "term", terms).join(terms, "term", "left_semi")
+    # an inner join: a semi-join would be moved below the filter
+    return among(each, "term", terms).join(terms.distinct(), "term")
 
 
 def document_frequencies(rows: DataFrame, terms: DataFrame) -> DataFrame:
