@@ -19,6 +19,17 @@ MARKER = "i18n-tasks-use"
 NEEDLES = ["t(", "t ", "t!", "translate", "I18n."]
 
 _STRING = r'''"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+\''''
+
+
+def _ruby_string(depth: int) -> str:
+    """A Ruby string; up to ``depth`` strings deep, an interpolation may hold strings of the same quotes."""
+    single = r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
+    body = rf"#\{{(?:[^{{}}\"']|{_ruby_string(depth - 1)}|\{{[^{{}}\"']*+\}})*+\}}|" if depth else ""
+    return rf'"[^"\\\n#]*+(?:(?:\\[\s\S]|{body}#)[^"\\\n#]*+)*+"|{single}'
+
+
+#: Strings that stand in the interpolations of others are read as one up to this depth.
+_R_STRING = _ruby_string(3)
 _SCOPE_WORD = r"\s*,\s*(?::scope\s*=>\s*|scope:\s*)"
 _OPEN = r"(?:\x20\s*|\s*\(\s*(?:\\\s*)?)"
 _PERCENT = r"%[iIwW](?:\[[^\n\]]*\]|\([^\n)]*\)|\{[^\n}]*\})"
@@ -30,17 +41,23 @@ _T_CALL = rf"(?U)(?:I18n\.|(?<![\p{{IsAlphabetic}}_.'-])){_T_NAME}{_OPEN}(?:{_T_
 _T_PARTS = rf"(?U)\A(?:I18n\.)?{_T_NAME}{_OPEN}({_T_ARG})(?:({_SCOPE_WORD})({_T_SCOPE}))?"
 
 # Ruby: adjacent literals join, expressions are opaque, `def t` is no call.
-_R_LITERAL = rf":?(?:{_STRING})(?:\s*(?:\\\s*)?(?:{_STRING}))*+"
+_R_LITERAL = rf":?(?:{_R_STRING})(?:\s*(?:\\\s*)?(?:{_R_STRING}))*+"
 _R_EXPR = r"(?!(?:if|unless|do|and|or|while|until|then|end|rescue|in|not)\b)[\w@$:][\w@$:.?!&]*"
 _R_ARG = rf"{_R_LITERAL}|:\w+[?!]?|{_R_EXPR}"
 # What follows the argument: the rest of the statement, over line breaks that cannot end it.
-_R_MORE = r"(?=(\s*(?=,)(?:[,(\[{][ \t]*\n|\n(?=\s*[)\]},])|[^\n,(\[{]++|[,(\[{])*+)|)"
-_R_CALL = rf"(?U)(?:(?<!\w::)I18n\.|(?<![\w.'-])(?<!def )(?<!def self\.)(?<![@$:]))(?:t|translate)!?{_OPEN}(?:{_R_ARG})"
-_R_OPTIONS, _R_OPTIONS_GROUP = _R_CALL + _R_MORE, 1
+_R_REST = r"\s*(?=,)(?:[,(\[{][ \t]*(?:#(?!\{)[^\n]*)?\n|\n(?=\s*[)\]},])|[^\n,(\[{]++|[,(\[{])*+"
+_R_NAME = rf"(?U)(?:(?<!\w::)I18n\.|(?<![\w.'-])(?<!def )(?<!def self\.)(?<![@$:]))(?:t|translate)!?{_OPEN}"
+_R_CALL = rf"{_R_NAME}(?:{_R_ARG})"
+_R_OPTIONS, _R_OPTIONS_GROUP = rf"{_R_CALL}(?=({_R_REST})|)", 1
+# A call inside the argument of another: only its name is taken, so that the search goes on in its own argument.
+_R_INNER = rf"{_R_NAME}(?=({_R_ARG})({_R_REST}|))"
 _R_PARTS = rf"(?U)\A(?:I18n\.)?(?:t|translate)!?{_OPEN}({_R_ARG})"
 _R_COMMENT_BLOCK = r"(?ms)^=begin\b.*?(?:^=end\b[^\n]*|\z)"
 _R_SCOPE_WORD = r"(?<![\w:]):scope\s*=>\s*|(?<![\w:])scope:(?!:)\s*"
-_R_TOKEN = rf"{_STRING}|{_R_SCOPE_WORD}|[()\[\]{{}},]|(?:(?!:scope|scope:)[^\"'()\[\]{{}},])++|[\s\S]"
+# Strings, comments, brackets and commas part a list of Ruby arguments; a comment goes up to the end of its line.
+_R_COMMENT = r"#(?!\{)[^\n]*"
+_R_TOKEN = rf"{_R_STRING}|{_R_COMMENT}|{_R_SCOPE_WORD}|[()\[\]{{}},]|(?:(?!:scope|scope:)[^\"'()\[\]{{}},#])++|[\s\S]"
+_R_ITEM_TOKEN = rf"{_R_STRING}|{_R_COMMENT}|[()\[\]{{}},]|[^\"'()\[\]{{}},#]++|[\s\S]"
 
 
 # --- files ---------------------------------------------------------------------------
@@ -146,7 +163,7 @@ def _located(pieces: Column, calls: Column) -> Column:
             (s["pos"] + m["p_len"] + m["c_len"]).alias("pos"),
             (s["line"] + m["p_nl"] + m["c_nl"]).alias("line"),
             F.when(m["c_nl"] > 0, m["c_tail"]).otherwise(F.concat(head, m["c_tail"])).alias("head"),
-            F.concat(s["out"], F.array(here)).cast(place).alias("out"),
+            F.concat(s["out"], F.array(here)).alias("out"),
         )
 
     return F.aggregate(measured, start, step, lambda s: s["out"])
@@ -163,7 +180,7 @@ def option_scope(options: Column) -> Column:
     """The value of ``scope:`` (or ``:scope =>``) among the options of a call, wherever it stands; null without one.
 
     Brackets are counted, to any depth: options end at a bracket that they did not open, and a value ends at a comma
-    outside brackets. An option of the same name inside another value does not count.
+    outside brackets. An option of the same name inside another value or a comment does not count.
     """
     state = "struct<depth:int,mode:int,value:string>"
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("mode"), F.lit(None).cast("string").alias("value")).cast(state)
@@ -176,7 +193,7 @@ def option_scope(options: Column) -> Column:
         return F.struct(
             (s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).cast("int").alias("depth"),
             F.when(over, 2).when(begins, 1).otherwise(s["mode"]).cast("int").alias("mode"),
-            F.when(~over & begins, "").when(~over & (s["mode"] == 1), F.concat(s["value"], token)).otherwise(s["value"]).alias("value"),
+            F.when(~over & begins, "").when(~over & (s["mode"] == 1) & ~token.startswith("#"), F.concat(s["value"], token)).otherwise(s["value"]).alias("value"),
         )
 
     tokens = F.regexp_extract_all(options, F.lit(_R_TOKEN), F.lit(0))
@@ -184,29 +201,79 @@ def option_scope(options: Column) -> Column:
     return F.when(options.contains("scope"), F.trim(F.regexp_replace(value, r"\s+(?:do|if|unless|and|or)\b[\s\S]*\z", "")))
 
 
+def interpolated_code(text: Column) -> Column:
+    """``text`` with everything blanked but what stands in ``#{...}``, braces counted to any depth; as many bytes."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def step(s: Column, token: Column) -> Column:
+        inside = (s["depth"] > 0) & ~((s["depth"] == 1) & (token == "}"))
+        depth = s["depth"] + F.when((token == "#{") | ((token == "{") & (s["depth"] > 0)), 1).when((token == "}") & (s["depth"] > 0), -1).otherwise(0)
+        return F.struct(depth.cast("int").alias("depth"), F.concat(s["out"], F.when(inside, token).otherwise(_blank(token))).alias("out"))
+
+    tokens = F.regexp_extract_all(text, F.lit(r"#\{|[{}]|[^#{}]++|#"), F.lit(0))
+    return F.aggregate(tokens, start, step, lambda s: s["out"])
+
+
+_CALLS = "array<struct<pos:int,line_num:int,line_head:string,call:string,options:string>>"
+
+
+def _inner_calls(call: Column) -> Column:
+    """The calls in the interpolations of a call's argument, at any depth, with places that count from the call."""
+    code = interpolated_code(call)
+    names, args, rests = (F.regexp_extract_all(code, F.lit(_R_INNER), F.lit(i)) for i in (0, 1, 2))
+    at = _located(F.split(code, _R_INNER, -1), names)
+    found = F.transform(
+        F.arrays_zip(at.alias("at"), args.alias("arg"), rests.alias("rest")),
+        lambda c: F.struct(c["at"]["pos"].alias("pos"), c["at"]["line_num"].alias("line_num"), c["at"]["line_head"].alias("line_head"), F.concat(c["at"]["call"], c["arg"]).alias("call"), c["rest"].alias("options")),
+    )
+    return F.when(call.contains("#{") & code.rlike(_R_INNER), found.cast(_CALLS)).otherwise(F.array().cast(_CALLS))
+
+
+def _with_inner(rows: DataFrame) -> DataFrame:
+    """Each Ruby call and those in its interpolations: a key inside another's key is used as well."""
+    own = F.struct("pos", "line_num", "line_head", "call", "options")
+    inner = F.transform(
+        F.when(F.col("scanner") != "template", _inner_calls(F.col("call"))).otherwise(F.array().cast(_CALLS)),
+        lambda c: F.struct(
+            (F.col("pos") + c["pos"]).alias("pos"), (F.col("line_num") + c["line_num"] - 1).alias("line_num"),
+            F.when(c["line_num"] == 1, F.concat("line_head", c["line_head"])).otherwise(c["line_head"]).alias("line_head"), c["call"].alias("call"), c["options"].alias("options"),
+        ),
+    )
+    every = F.concat(F.array(own).cast(_CALLS), inner.cast(_CALLS))
+    return rows.select("project", "path", "scanner", F.explode(every).alias("c")).select("project", "path", "scanner", "c.*")
+
+
+#: Stand around calls while a text is cut up; a text that has them gets blanks in their place.
+_MARKS = "\u0001\u0002\u0003"
+
+
 def extract_calls(files: DataFrame) -> DataFrame:
     """One row per translation call of any file: project, path, scanner, pos, line_num, line_pos,
     line_head, receiver, arg, scope (null when the call has none).
 
     A bare ``t`` must not follow a letter, ``_``, ``'``, ``-`` or ``.``; the guard is inside the
-    expression, so the search goes on one character after a rejected start.
+    expression, so the search goes on one character after a rejected start. In Ruby, calls in the interpolations of a
+    call's argument are calls of their own.
     """
     kind = F.col("scanner")
     text = F.when(kind == "erb", template_code("content")).when(kind == "ruby", _without_comment_blocks(F.col("content"))).otherwise(F.col("content"))
-    coded = files.withColumn("scanner", scanner_kind("path")).withColumn("content", text)
+    coded = files.withColumn("scanner", scanner_kind("path")).withColumn("content", F.translate(text, _MARKS, "   "))
     template = kind == "template"
-    pieces = F.when(template, F.split("content", _T_CALL, -1)).otherwise(F.split("content", _R_CALL, -1))
-    calls = F.when(template, F.regexp_extract_all("content", F.lit(_T_CALL), F.lit(0))).otherwise(
-        F.regexp_extract_all("content", F.lit(_R_CALL), F.lit(0))
-    )
-    options = F.when(~template, F.regexp_extract_all("content", F.lit(_R_OPTIONS), F.lit(_R_OPTIONS_GROUP))).otherwise(F.array().cast("array<string>"))
+    # one pass finds the calls and what follows each: they are put between marks, at which the text is then cut
+    begin, middle, end = _MARKS
+    marked = F.when(template, F.regexp_replace("content", _T_CALL, f"{begin}$0{middle}{end}")).otherwise(F.regexp_replace("content", _R_OPTIONS, f"{begin}$0{middle}${_R_OPTIONS_GROUP}{end}"))
+    coded = coded.select("project", "path", "scanner", F.split(marked, f"[{begin}{end}]", -1).alias("parts")).where(F.size("parts") > 1)
+    odd = F.filter("parts", lambda x, i: i % 2 == 1)
+    coded = coded.select("project", "path", "scanner", F.filter("parts", lambda x, i: i % 2 == 0).alias("pieces"), odd.alias("hits"))
+    calls = F.transform("hits", lambda h: F.substring_index(h, middle, 1))
+    options = F.transform("hits", lambda h: F.substring_index(h, middle, -1))
     located = F.arrays_zip(_located(F.col("pieces"), F.col("calls")).alias("at"), F.col("options").alias("options"))
     rows = (
-        coded.select("project", "path", "scanner", pieces.alias("pieces"), calls.alias("calls"), options.alias("options"))
-        .where(F.size("calls") > 0)
+        coded.select("project", "path", "scanner", "pieces", calls.alias("calls"), options.alias("options"))
         .select("project", "path", "scanner", F.explode(located).alias("c"))
         .select("project", "path", "scanner", "c.at.*", "c.options")
     )
+    rows = _with_inner(rows)
 
     def part(i: int) -> Column:
         own = F.regexp_extract("call", _T_PARTS, i)
@@ -329,16 +396,40 @@ def _ruby_text(literal: Column) -> Column:
 _LITERAL_START = r'''\A:?["']|\A:\w'''
 
 
+def list_items(text: Column) -> Column:
+    """The items of a Ruby list, or the one value that is no list, with nested array literals flattened to any depth.
+
+    Commas part items outside strings, comments and the brackets of other expressions. A square bracket that begins an
+    item opens an array literal; one behind something, as in ``names[:a]``, belongs to the item.
+    """
+    state = "struct<depth:int,arrays:int,item:string,items:array<string>>"
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("arrays"), F.lit("").alias("item"), F.array().cast("array<string>").alias("items")).cast(state)
+
+    def step(s: Column, token: Column) -> Column:
+        top = s["depth"] == 0
+        literal = top & (token == "[") & ~s["item"].rlike(r"\S")
+        ends = top & (token == "]") & (s["arrays"] > 0)
+        parts = top & (token == ",")
+        kept = ~(literal | ends | parts | token.startswith("#"))
+        depth = s["depth"] + F.when(~literal & token.isin("(", "[", "{"), 1).when(~ends & token.isin(")", "]", "}"), -1).otherwise(0)
+        return F.struct(
+            depth.cast("int").alias("depth"),
+            (s["arrays"] + F.when(literal, 1).when(ends, -1).otherwise(0)).cast("int").alias("arrays"),
+            F.when(kept, F.concat(s["item"], token)).when(parts, "").otherwise(s["item"]).alias("item"),
+            F.when(parts, F.concat(s["items"], F.array(s["item"]))).otherwise(s["items"]).alias("items"),
+        )
+
+    tokens = F.regexp_extract_all(text, F.lit(_R_ITEM_TOKEN), F.lit(0))
+    found = F.aggregate(tokens, start, step, lambda s: F.concat(s["items"], F.array(s["item"])))
+    return F.transform(found, lambda i: F.regexp_replace(i, r"\A\s+|\s+\z", ""))
+
+
 def keyword_scope(scope: Column) -> Column:
     """Ruby scope as a dotted prefix: nested arrays flattened, interpolation ``*:``, any other
     expression ``*``, ``nil`` dropped; null for numbers, hashes, or nothing static."""
     percent_body = F.substring(scope, F.lit(4), F.greatest(F.length(scope) - 4, F.lit(0)))
     words = F.filter(F.split(percent_body, r"\s+"), lambda w: w != "")
-    array = scope.startswith("[")
-    items = F.filter(
-        F.transform(F.split(F.when(array, F.translate(scope, "[]", "")).otherwise(scope), ","), lambda i: F.regexp_replace(i, r"\A\s+|\s+\z", "")),
-        lambda i: ~i.isin("", "nil"),
-    )
+    items = F.filter(list_items(scope), lambda i: ~i.isin("", "nil"))
     unusable = F.exists(items, lambda i: i.rlike(r"\A(?:[0-9{]|\w+: )")) | (F.trim(scope) == "")
     parts = F.transform(items, lambda i: F.when(i.rlike(_LITERAL_START), _ruby_text(i)).otherwise("*"))
     text = F.when(scope.startswith("%"), F.array_join(words, ".")).otherwise(F.array_join(parts, "."))
@@ -481,7 +572,7 @@ def _ruby_results(calls: DataFrame) -> DataFrame:
     )
     return (
         usable.withColumn("candidates", candidates)
-        .withColumn("_first", F.try_element_at("candidates", F.lit(1)))
+        .withColumn("_first", F.get("candidates", F.lit(0)))
         .withColumn("_dotted", F.when(first.endswith("."), F.concat(first, F.lit("*:"))).otherwise(first))
         .withColumn("r", F.explode(results))
         .withColumn("kind", F.col("r.kind"))

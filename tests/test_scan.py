@@ -1,6 +1,7 @@
 """Call extraction on small texts: keys, patterns and opaque calls per line form."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from polyglint.operators import scan as S
 
@@ -186,3 +187,60 @@ def test_ruby_scope_anywhere_and_any_depth(spark):
     assert got == {f"lib/f{i}.rb": key for i, (_, key) in enumerate(calls)} | {"lib/block.rb": "live"}
     template = spark.createDataFrame([("p", "a.slim", f'= t("k.{deep}.z")\n')], "project string, path string, content string")
     assert [(r.kind, r.key) for r in S.scan(template, ROOTS).collect()] == [("pattern", "k.*:.z")]
+
+
+def test_lists_of_any_shape(spark):
+    """Scopes made of strings with commas, calls with arguments, indexing, comments and nested arrays, to any depth."""
+    import random
+
+    rng = random.Random(2)
+    atoms = [(":b", "b"), ("'c,d'", "c,d"), ("foo(:c, [:d, 1])", "*"), ("names[:a, 0]", "*"), ("nil", ""), ('"e.#{x}"', "e.*:"), ("x.map { |y, z| y }", "*"), ("Shop::KIND", "*"), ("[]", "")]
+
+    def listed(depth: int) -> tuple[str, list[str]]:
+        if depth == 0 or rng.random() < 0.3:
+            text, part = rng.choice(atoms)
+            return text, [part] if part else []
+        items = [listed(depth - 1) for _ in range(rng.randrange(1, 4))]
+        gap = rng.choice([", ", ",", ",\n  ", ", # with: a note, [and more\n  "])
+        return "[" + gap.join(t for t, _ in items) + "]", [p for _, parts in items for p in parts]
+
+    cases = [listed(6) for _ in range(150)]
+    rows = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "i int, scope string").repartition(4)
+    got = {r.i: r.prefix for r in rows.select("i", S.keyword_scope(F.col("scope")).alias("prefix")).collect()}
+    wrong = []
+    for i, (text, parts) in enumerate(cases):
+        want = ".".join(parts)
+        want = None if parts and set(want) <= set(".*:") else want
+        if got[i] != want:
+            wrong.append((text, got[i], want))
+    assert not wrong
+
+
+def test_calls_inside_interpolations(spark):
+    deep = "\"o.#{t(\"m.#{t('i')}\")}\""
+    calls = [
+        ("t(\"a.#{t('inner')}.b\")", ["inner"], ["a.*:.b"]),
+        (f"t({deep})", ["i"], ["o.*:", "m.*:"]),
+        ("t(\"a.#{h.map { |x| t('k', scope: :s) }}.#{t 'z'}\")", ["s.k", "z"], ["a.*:.*:"]),
+        ("t(\"t('no').#{x}\")", [], ["t('no').*:"]),
+        ("t('v', # note, scope: :zz\n  scope: :w)", ["w.v"], []),
+        ("t(:q, scope: \"a,b\")", ["a,b.q"], []),
+        ("t(:a, scope: [:b, foo(:c, :d)])", [], ["b.*.a"]),
+    ]
+    files = [(f"lib/f{i}.rb", f"# first\n  {text}\n") for i, (text, _, _) in enumerate(calls)]
+    got = run(spark, files)
+    for (path, _), (text, keys, patterns) in zip(files, calls, strict=True):
+        assert (sorted(got[path]["key"]), sorted(got[path]["pattern"])) == (sorted(keys), sorted(patterns)), text
+    assert got["lib/f0.rb"]["lines"] == {"inner": [(2, 9)], "a.*:.b": [(2, 2)]}
+
+
+def test_many_calls_in_a_file_cost_their_number(spark):
+    import time
+
+    took = {}
+    for n in (2000, 8000):
+        files = spark.createDataFrame([("p", "lib/big.rb", "".join(f"t('k{i}')\n" for i in range(n)))], "project string, path string, content string")
+        begin = time.perf_counter()
+        assert S.scan_ruby(files, ROOTS).where("kind = 'key'").count() == n
+        took[n] = time.perf_counter() - begin
+    assert took[8000] < 8 * took[2000] + 5
