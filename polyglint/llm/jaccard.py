@@ -96,9 +96,14 @@ def _order(docs: DataFrame) -> Order:
     return Order(grams[order], np.log2(rows.column("times").to_numpy()[order]).astype(np.int64) + 1)
 
 
+#: N-grams that two sets must share at the front of both orders before they are compared, as far as they must share so
+#: many at all. The front is so much longer than for one.
+FRONT = 3
+
+
 def prefix_length(n):
-    """N-grams of which one at least is shared by any other set that is similar enough: 3/4 of a set is shared."""
-    return n - (3 * n + 3) // 4 + 1
+    """N-grams of which FRONT at least are shared by any other set that is similar enough: 3/4 of a set is shared."""
+    return n - (3 * n + 3) // 4 + FRONT
 
 
 def _incidence(docs: DataFrame, order: Order) -> DataFrame:
@@ -127,9 +132,14 @@ def _fits(n_a: Column, n_b: Column) -> Column:
     return 4 * F.least(n_a, n_b) >= 3 * F.greatest(n_a, n_b)
 
 
+def _needed(n_a: Column, n_b: Column) -> Column:
+    """Shared n-grams at the bound: 3/7 of both sizes."""
+    return F.floor((3 * (n_a + n_b) + 6) / 7)
+
+
 def _early(place: Column, n: Column, other: Column) -> Column:
-    """Whether a place is among the first of which, for two sets of these sizes, one at least is shared."""
-    return place <= n - F.floor((3 * (n + other) + 6) / 7)
+    """Whether a place is among the first of which, for two sets of these sizes, FRONT at least are shared."""
+    return place <= n - _needed(n, other) + FRONT - 1
 
 
 def _possible(overlap: Column, n_a: Column, n_b: Column) -> Column:
@@ -139,7 +149,7 @@ def _possible(overlap: Column, n_a: Column, n_b: Column) -> Column:
 
 
 def _prefix_column(n: Column) -> Column:
-    return n - F.floor((3 * n + 3) / 4) + 1
+    return F.least(n, n - F.floor((3 * n + 3) / 4) + FRONT)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -160,7 +170,8 @@ def similar_components(docs: DataFrame) -> DataFrame:
     reach, named by its smallest doc_id. Every link between different sets is found or lies inside a component.
 
     1. Documents with equal sets (a signature of 128 bits) are one row of the incidence, that of the smallest doc_id.
-    2. N-grams are ordered by how common they are; of each set the rarest quarter is kept: similar sets share one there.
+    2. N-grams are ordered by how common they are; of each set the rarest quarter and a few more are kept: similar sets
+       share FRONT there.
        These rows are dealt out by n-gram, so a task holds a block of columns.
     3. Each column is multiplied with its first document only: overlap counts of (document, first document) are added
        over all blocks, and pairs that cannot reach the bound of their sizes are discarded. Each document's best pair is
@@ -204,7 +215,9 @@ def similar_components(docs: DataFrame) -> DataFrame:
     other = left.select("gram", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("component").alias("of_b"))
     n, n_b = F.col("n"), F.col("n_b")
     across = left.join(other, "gram").where("component < of_b").where(_fits(n, n_b) & _early(F.col("place"), n, n_b) & _early(F.col("place_b"), n_b, n))
-    pairs = saved(across.select(F.col("doc_id").alias("a"), "b", "n", "n_b").distinct().join(best, ["a", "b"], "left_anti"))
+    # similar sets share FRONT n-grams there, or all that they must share
+    front = across.groupBy(F.col("doc_id").alias("a"), "b", "n", "n_b").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = saved(front.where(F.col("shared") >= F.least(F.lit(FRONT), _needed(n, n_b))).drop("shared").join(best, ["a", "b"], "left_anti"))
     held = saved(left.groupBy("doc_id").agg(F.collect_list("gram").alias("grams")))
     one, two = (held.select(F.col("doc_id").alias(c), F.col("grams").alias(f"grams_{c}")) for c in "ab")
     overlap = F.size(F.array_intersect("grams_a", "grams_b"))
