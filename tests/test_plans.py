@@ -1,5 +1,7 @@
 """Plans and determinism: no pairs of everything, no Python rows, the same rows however it is split."""
 
+import re
+
 import pytest
 
 from workload import catalog_queries, check_queries, scan_queries  # noqa: F401
@@ -26,3 +28,10 @@ def test_same_rows_for_any_split(spark, sf_dir, name):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert out[0] == out[1]
+
+
+def test_health_shares_its_work(spark, sf_dir):
+    """Five checks on one context: the plan reads and shuffles little more than once for each use of a shared table."""
+    plan = QUERIES["A7_health"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan|Scan parquet", plan)) <= 28
+    assert len(re.findall(r"\bExchange\b", plan)) <= 26
