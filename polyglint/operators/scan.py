@@ -37,7 +37,7 @@ _PERCENT = r"%[iIwW](?:\[[^\n\]]*\]|\([^\n)]*\)|\{[^\n}]*\})"
 _T_ARG = rf":?(?:{_STRING})|:\w+|[\w@.&|\s?!]+"
 _T_SCOPE = rf"{_PERCENT}|\[[^\n)%#]*\]|[^\n)%#,]*"
 _T_NAME = r"t(?:!|ranslate!?)?"
-_T_CALL = rf"(?U)(?:I18n\.|(?<![\p{{IsAlphabetic}}_.'-])){_T_NAME}{_OPEN}(?:{_T_ARG})(?:{_SCOPE_WORD}(?:{_T_SCOPE}))?"
+_T_CALL = rf"(?U)(?:I18n\.t|t(?<![\p{{IsAlphabetic}}_.'-]t)){_T_NAME[1:]}{_OPEN}(?:{_T_ARG})(?:{_SCOPE_WORD}(?:{_T_SCOPE}))?"
 _T_PARTS = rf"(?U)\A(?:I18n\.)?{_T_NAME}{_OPEN}({_T_ARG})(?:({_SCOPE_WORD})({_T_SCOPE}))?"
 
 # Ruby: adjacent literals join, expressions are opaque, `def t` is no call.
@@ -65,7 +65,7 @@ _R_ITEM_TOKEN = rf"{_R_STRING}|{_R_COMMENT}|[()\[\]{{}},]|[^\"'()\[\]{{}},#]++|[
 
 def has_needle(content) -> Column:
     c = F.col(content)
-    hit = c.rlike(MARKER)
+    hit = c.contains(MARKER)
     for n in NEEDLES:
         hit = hit | c.contains(n)
     return hit
@@ -78,11 +78,19 @@ def needle_prefilter(files: DataFrame) -> DataFrame:
 
 def scanner_kind(path) -> Column:
     path = F.col(path) if isinstance(path, str) else path
-    return F.when(path.rlike(r"[^/]\.rb\z"), "ruby").when(path.rlike(r"[^/]\.erb\z"), "erb").otherwise("template")
+    return F.when(_named(path, ".rb"), "ruby").when(_named(path, ".erb"), "erb").otherwise("template")
+
+
+def _named(path: Column, end: str) -> Column:
+    """Whether a path ends so behind a character that is no slash."""
+    return path.endswith(end) & ~path.endswith("/" + end) & (path != end)
 
 
 def extension(path) -> Column:
-    return F.regexp_extract(F.col(path), r"[^/]\.([^./]*)\z", 1)
+    path = F.col(path)
+    name = F.substring_index(path, "/", -1)
+    last = F.substring_index(name, ".", -1)
+    return F.when(path.isNotNull(), F.when(F.length(name) - F.length(last) > 1, last).otherwise(""))
 
 
 # --- template tags -------------------------------------------------------------------
@@ -93,16 +101,15 @@ _MARKED_LINE = rf"\A[ \t#]*{MARKER}[ \t]"
 
 
 def _blank(text: Column) -> Column:
-    """Spaces for every character but newlines, as many as it has bytes."""
+    """Spaces for every character but newlines, as many as it has bytes; one pass where that is one each."""
+    plain, given = F.regexp_replace(text, r"[^\n ]", " "), text
     for chars, n in ((r"[\x{10000}-\x{10FFFF}]", 4), (r"[\x{800}-\x{FFFF}]", 3), (r"[\x{80}-\x{7FF}]", 2), (r"[^\n ]", 1)):
         text = F.regexp_replace(text, chars, " " * n)
-    return text
+    return F.when(F.octet_length(given) == F.length(given), plain).otherwise(text)
 
 
-def _tag_code(tag: Column) -> Column:
+def _tag_code(tag: Column, indicator: Column, code: Column) -> Column:
     """One tag with everything blanked but its code, or but the marked lines of a comment."""
-    indicator = F.regexp_extract(tag, _TAG_PARTS, 1)
-    code = F.regexp_extract(tag, _TAG_PARTS, 2)
     front = F.lit(2) + F.length(indicator)
     lead = _blank(F.substring(tag, F.lit(1), front))
     trail = _blank(F.substring(tag, front + F.length(code) + 1, F.length(tag)))
@@ -120,10 +127,14 @@ def template_code(content) -> Column:
     """The text of a tagged template with everything outside code tags blanked; offsets, lines
     and columns stay those of the file."""
     content = F.col(content) if isinstance(content, str) else content
-    tags = F.regexp_extract_all(content, F.lit(_TAG), F.lit(0))
+    parted = F.transform(
+        F.regexp_extract_all(content, F.lit(_TAG), F.lit(0)),
+        lambda tag: F.struct(tag.alias("tag"), F.regexp_extract(tag, _TAG_PARTS, 1).alias("indicator"), F.regexp_extract(tag, _TAG_PARTS, 2).alias("code")),
+    )
+    tags = F.transform(parted, lambda t: _tag_code(t["tag"], t["indicator"], t["code"]))
     between = F.split(content, _TAG, -1)
     woven = F.zip_with(
-        between, tags, lambda text, tag: F.concat(_blank(text), F.when(tag.isNull(), "").otherwise(_tag_code(tag)))
+        between, tags, lambda text, tag: F.concat(_blank(text), F.coalesce(tag, F.lit("")))
     )
     return F.array_join(woven, "")
 
@@ -262,7 +273,7 @@ def extract_calls(files: DataFrame) -> DataFrame:
     # one pass finds the calls and what follows each: they are put between marks, at which the text is then cut
     begin, middle, end = _MARKS
     marked = F.when(template, F.regexp_replace("content", _T_CALL, f"{begin}$0{middle}{end}")).otherwise(F.regexp_replace("content", _R_OPTIONS, f"{begin}$0{middle}${_R_OPTIONS_GROUP}{end}"))
-    coded = coded.select("project", "path", "scanner", F.split(marked, f"[{begin}{end}]", -1).alias("parts")).where(F.size("parts") > 1)
+    coded = coded.select("project", "path", "scanner", F.split(marked, f"[{begin}{end}]", -1).alias("parts"))
     odd = F.filter("parts", lambda x, i: i % 2 == 1)
     coded = coded.select("project", "path", "scanner", F.filter("parts", lambda x, i: i % 2 == 0).alias("pieces"), odd.alias("hits"))
     calls = F.transform("hits", lambda h: F.substring_index(h, middle, 1))
@@ -302,9 +313,11 @@ def line_kind(ext: Column, scanner: Column, head: Column) -> Column:
         kind = F.when(opened, F.when(head.rlike(rf"(?U)\A\s*(?:{opener})\s{MARKER}"), "magic").otherwise("comment")).otherwise(kind)
     ruby = scanner != "template"
     outside_strings = F.regexp_replace(head, r'''"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+\'''', "")
+    # cheap tests first: few lines hold a comment, and optimized plans may evaluate this twice
+    kind = F.when(~ruby & head.rlike(r"(?U)\A\s*[-#/]"), kind).otherwise("code")
     return (
-        F.when(ruby & head.rlike(rf"\A[\s#]*{MARKER}[ \t]"), "magic")
-        .when(ruby & outside_strings.rlike(r"#(?!\{)"), F.when(head.rlike(rf"#[ \t]*{MARKER}[ \t]"), "magic").otherwise("comment"))
+        F.when(ruby & head.contains(MARKER) & head.rlike(rf"\A[\s#]*{MARKER}[ \t]"), "magic")
+        .when(ruby & head.contains("#") & outside_strings.rlike(r"#(?!\{)"), F.when(head.rlike(rf"#[ \t]*{MARKER}[ \t]"), "magic").otherwise("comment"))
         .otherwise(kind)
     )
 
@@ -341,7 +354,8 @@ def interpolation_to_pattern(key: Column, *, bare_braces: bool = False) -> Colum
 def valid_key(key: Column) -> Column:
     """Key characters only; blanks only between letters or digits."""
     word = r"\p{IsAlphabetic}\p{N}"
-    return key.rlike(rf"(?U)\A(?:[{word}_.?!:;\\/#{{}}@\[\]\u00C0-\u017E-]|(?<=[{word}])\s(?=[{word}]))+\z")
+    plain = key.rlike(r"\A[A-Za-z0-9_.?!:;\\/#{}@\[\]-]++\z")
+    return plain | key.rlike(rf"(?U)\A(?:[{word}_.?!:;\\/#{{}}@\[\]\u00C0-\u017E-]|(?<=[{word}])\s(?=[{word}]))+\z")
 
 
 def all_wildcard(text: Column) -> Column:
@@ -526,12 +540,13 @@ def scan_templates(files: DataFrame, roots: list[str]) -> DataFrame:
 
 def _ruby_calls(files: DataFrame) -> DataFrame:
     """Calls of Ruby files and code tags with argument and scope reduced; no context yet."""
-    calls = reduce_argument(_classified_lines(files.where(scanner_kind("path") != "template")))
+    # numbers go before the argument's text is made, which a test of ``arg_kind`` would make twice
+    static = F.col("arg").rlike(_LITERAL_START) | ~F.col("arg").rlike(r"\A[0-9]")
+    calls = reduce_argument(_classified_lines(files.where(scanner_kind("path") != "template")).where(static))
     magic = F.col("line_kind") == "magic"
     comment_at = F.instr("line_head", "#") - 1
     return (
-        calls.where("arg_kind is not null")
-        .withColumn("prefix", F.when(F.col("scope").isNull(), "").otherwise(keyword_scope(F.col("scope"))))
+        calls.withColumn("prefix", F.when(F.col("scope").isNull(), "").otherwise(keyword_scope(F.col("scope"))))
         .withColumn("magic", magic)
         .withColumn("pos", F.when(magic & (comment_at >= 0), F.col("pos") - F.col("line_pos") + comment_at).otherwise(F.col("pos")))
         .withColumn("line_pos", F.when(magic & (comment_at >= 0), comment_at).otherwise(F.col("line_pos")))
